@@ -328,8 +328,8 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, recall: f
         found = found.unionByName(x)
     alike = found.repartition("path").sortWithinPartitions("path").mapInArrow(_alike(at_least), "a long, b long, path long")
     meet = X.written(alike.groupBy("a", "b").agg(F.min("path").alias("path")), "candidates")
-    members = meet.select("path", F.explode(F.array("a", "b")).alias("doc")).distinct().groupBy("doc").agg(F.collect_list("path").alias("buckets"))
-    sets = texts.join(members, "doc").select("doc", "text", "buckets").mapInArrow(_sets(n), "doc long, grams binary, buckets array<long>")
+    members = X.written(meet.select("path", F.explode(F.array("a", "b")).alias("doc")).distinct().groupBy("doc").agg(F.collect_list("path").alias("buckets")), "members")
+    sets = X.sieved(texts, "doc", members).join(members, "doc").select("doc", "text", "buckets").mapInArrow(_sets(n), "doc long, grams binary, buckets array<long>")
     compared = (
         sets.select(F.explode("buckets").alias("path"), "doc", "grams")
         .repartition("path")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,4 +51,33 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sieved(df: DataFrame, key: str, kept: DataFrame, most: int = 1 << 25) -> DataFrame:
+    """df without most of the rows whose ``key`` is not among the keys of ``kept`` (where each stands once), for a join to shuffle less.
+
+    A bitmap of 16 places for each of these keys is tested, so one of 16 other rows slips through.
+    Beyond ``most`` keys, where the bitmap would take more than 64 MB, df comes back as it is.
+    """
+    n = kept.count()
+    if n > most:
+        return df
+    places = 16 * max(n, 1)
+
+    def place(k: str) -> Column:
+        return F.pmod(F.xxhash64(k), F.lit(places)) + 1
+
+    parts = kept.select(place(key).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    size = 4096  # bytes of a part
+    bits = np.zeros((places // (8 * size) + 1) * size, dtype=np.uint8)
+    for r in parts:
+        bits[(r.b - 1) * size : r.b * size] = np.frombuffer(r.bits, dtype=np.uint8)
+    shared = df.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def there(p: pd.Series) -> pd.Series:
+        at = p.to_numpy() - 1
+        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return df.where(there(place(key)))
+
+
 LONG = T.LongType()
