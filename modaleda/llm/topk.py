@@ -12,6 +12,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import frames as X
+
+LISTS = "q long, part int, q_ids binary, ids binary, sims binary, width int"
+
 
 def _tiles(rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,12 +98,13 @@ def _lists():
     return run
 
 
-def nearest(vectors: DataFrame, k: int = 10, tile_rows: int = 2048, fan_in: int = 16, digits: int = 6) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, tile_rows: int = 2048, side_tiles: int = 8, fan_in: int = 16, digits: int = 6) -> DataFrame:
     """(vec_id, rank, neighbor_id, similarity): the k most similar other vectors of each, by cosine, exactly.
 
-    vectors needs vec_id and embedding (array of numbers).  Every tile of queries meets
-    every tile of vectors in one matrix product; the k best of each query in each tile
-    are merged ``fan_in`` tiles at a time until one list is left.  Similarities are
+    vectors needs vec_id and embedding (array of numbers).  Tiles are dealt to sides of about
+    ``side_tiles``; every pair of sides is one task's work, in which each tile of queries meets
+    each tile of vectors in one matrix product.  The k best of each query are merged
+    within the pair of sides, then ``fan_in`` sides at a time until one list is left.  Similarities are
     rounded to ``digits``; ties go to the smaller id.  A vector is never its own
     neighbour, nor is another row with its vec_id (each such row gets its own list).
     Vectors are compared with those of the same dimension only; a zero vector has
@@ -108,48 +113,31 @@ def nearest(vectors: DataFrame, k: int = 10, tile_rows: int = 2048, fan_in: int
     result.
     """
     slim = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    tiles = slim.mapInArrow(_tiles(tile_rows), "dim int, tile long, n int, ids binary, m binary")
-    parts = max(1, tiles.rdd.getNumPartitions())
-    q = tiles.select("dim", F.col("tile").alias("q"), F.col("n"), F.col("ids").alias("q_ids"), F.col("m").alias("qm"))
-    s = tiles.select(F.col("dim").alias("s_dim"), F.col("tile").alias("s"), F.col("n").alias("s_n"), F.col("ids").alias("s_ids"), F.col("m").alias("sm"))
-    shuffles = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    q = q.repartition(min(shuffles, max(parts, 2)), "q")
-    pairs = q.crossJoin(s).where("dim = s_dim")
-    done = pairs.select("dim", "n", "q_ids", "qm", "s_n", "s_ids", "sm", "q", "s").mapInPandas(_with_keys(k, digits), "q long, s long, q_ids binary, ids binary, sims binary, width int")
-    lists = done.withColumn("part", F.pmod(F.xxhash64("s"), F.lit(1 << 20)).cast("int")).drop("s")
-    count = max(1, parts)
+    tiles = X.written(slim.mapInArrow(_tiles(tile_rows), "dim int, tile long, n int, ids binary, m binary"), "tiles")
+    sides = max(1, -(-tiles.count() // side_tiles))
+    mine, every = F.pmod(F.xxhash64("tile"), F.lit(sides)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(sides - 1)))
+    q = tiles.select("dim", mine.alias("q_side"), every.alias("part"), "tile", "n", "ids", "m").groupBy("dim", "q_side", "part")
+    s = tiles.select(F.col("dim").alias("s_dim"), every.alias("to_side"), mine.alias("s_side"), F.col("n").alias("s_n"), F.col("ids").alias("s_ids"), F.col("m").alias("s_m")).groupBy("s_dim", "to_side", "s_side")
+    lists = q.cogroup(s).applyInPandas(_cell(k, digits), LISTS)
+    count = sides
     while count > 1:
         count = -(-count // fan_in)
-        lists = lists.withColumn("part", F.col("part") % count)
-        lists = lists.groupBy("q", "part").applyInPandas(_merge(k), "q long, part int, q_ids binary, ids binary, sims binary, width int")
-    lists = lists.withColumn("part", F.lit(0)).groupBy("q").applyInPandas(_merge(k), "q long, part int, q_ids binary, ids binary, sims binary, width int")
+        lists = lists.withColumn("part", F.pmod("part", F.lit(count))).groupBy("q", "part").applyInPandas(_merge(k), LISTS)
     return lists.select("q_ids", "ids", "sims", "width").mapInArrow(_lists(), "vec_id long, rank int, neighbor_id long, similarity double")
 
 
-def _with_keys(k: int, digits: int):
-    """Products of the tile pairs of a task; the lists of a query tile are merged as long as it stays in sight."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list] = {}
-
-        def flush() -> pd.DataFrame:
-            rows = [(q, s, q_ids, i.astype("<i8").tobytes(), x.astype("<f8").tobytes(), i.shape[1]) for q, (s, q_ids, i, x) in held.items()]
-            held.clear()
-            return pd.DataFrame(rows, columns=["q", "s", "q_ids", "ids", "sims", "width"])
-
-        for f in frames:
-            for r in f.itertuples(index=False):
-                q, s = np.frombuffer(r.qm, "<f8").reshape(r.n, r.dim), np.frombuffer(r.sm, "<f8").reshape(r.s_n, r.dim)
-                i, x = _tile_best(k, digits, np.frombuffer(r.q_ids, "<i8"), q, np.frombuffer(r.s_ids, "<i8"), s)
-                if r.q in held:
-                    s0, q_ids, i0, x0 = held[r.q]
-                    i, x = best(np.concatenate([i0, i], axis=1), np.concatenate([x0, x], axis=1), k)
-                    held[r.q] = [s0, q_ids, i, x]
-                else:
-                    held[r.q] = [r.s, r.q_ids, i, x]
-                if len(held) > 64:
-                    yield flush()
-        if held:
-            yield flush()
+def _cell(k: int, digits: int):
+    """Products of all tiles of two sides: one list for each tile of queries."""
+
+    def run(key: tuple, queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        dim, _, part = key
+        others = [(np.frombuffer(r.s_ids, "<i8"), np.frombuffer(r.s_m, "<f8").reshape(r.s_n, dim)) for r in vectors.itertuples(index=False)]
+        rows = []
+        for r in queries.itertuples(index=False) if others else ():
+            q_ids, q = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.m, "<f8").reshape(r.n, dim)
+            found = [_tile_best(k, digits, q_ids, q, ids, m) for ids, m in others]
+            ids, sims = best(np.concatenate([i for i, _ in found], axis=1), np.concatenate([x for _, x in found], axis=1), k)
+            rows.append((r.tile, part, r.ids, ids.astype("<i8").tobytes(), sims.astype("<f8").tobytes(), ids.shape[1]))
+        return pd.DataFrame(rows, columns=["q", "part", "q_ids", "ids", "sims", "width"])
 
     return run
