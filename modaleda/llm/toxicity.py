@@ -184,11 +184,11 @@ def learnt_stems(docs: DataFrame, labels: DataFrame, sample: int = 20_000, conte
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "__id__")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id__")).where("text is not null")
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
-    each = texts.select("toxic", tokens.alias("w")).select("toxic", "w", F.posexplode("w").alias("i", "word")).where(F.length("word") >= shortest)
+    each = X.written(texts.select("toxic", tokens.alias("w")), "labelled").select("toxic", "w", F.posexplode("w").alias("i", "word")).where(F.length("word") >= shortest)
     around = F.xxhash64(F.get("w", F.col("i") - 1), F.get("w", F.col("i") + 1))
     clean = each.where("toxic = 0").groupBy("word").agg(F.count(F.lit(1)).alias("clean"))
     toxic = each.where("toxic = 1").select("word", around.alias("c")).distinct().groupBy("word").agg(F.count(F.lit(1)).alias("toxic"))
-    both = toxic.join(clean, "word", "full").na.fill(0)
+    both = X.written(toxic.join(clean, "word", "full").na.fill(0), "word-counts")
     n = both.agg(F.sum("toxic"), F.sum("clean")).first()
     if not n[0] or not n[1]:
         return ()
