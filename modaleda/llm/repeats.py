@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import frames as X
 from . import words as W
 
 _POS_BITS = 30
@@ -105,7 +106,7 @@ def pieces(docs: DataFrame, length: int = 50, k: int = 25) -> DataFrame:
 
 def paths(docs: DataFrame, length: int = 50, k: int = 25) -> DataFrame:
     """(doc, start, stop, places): whole nonbranching paths, each piece joined to the one that it continues."""
-    p = pieces(docs, length, k)
+    p = X.written(pieces(docs, length, k), "pieces")  # both sides of the join read them
     before = p.select("doc", (F.col("stop") + 1).alias("start"), "path", F.lit(True).alias("goes_on"))
     linked = p.join(before, ["doc", "start", "path"], "left")
     along = Window.partitionBy("doc").orderBy("start", "stop")
