@@ -10,9 +10,10 @@ by pair, however many there are.  ``runs`` follows from the target recall at
 the threshold itself.  Comparison is in two steps: byte sketches first (with a
 margin below the threshold), then the whole sets, exactly.
 
-Equal sets are joined to the smallest doc_id among them, which stands for them
-in the search: the result stays linear in the number of exact copies, and every
-pair of members follows from the pairs of those that stand for them.
+One document stands for all of equal sets in the search.  ``all_similar_pairs``
+puts the members back in its place, so that its result has every pair of documents;
+``similar_pairs`` keeps the pairs of those that stand for others and joins each
+member to the one that stands for it, which is enough for groups.
 """
 
 from __future__ import annotations
@@ -72,6 +73,12 @@ def sketches(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out.T
 
 
+def _digests(u: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two digests of each set (none of them empty)."""
+    first = W.mix(np.add.reduceat(W.mix(u), at[:-1]) + np.diff(at).astype(np.uint64))
+    return first.view(np.int64), np.bitwise_xor.reduceat(u, at[:-1]).view(np.int64)
+
+
 def _emit(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,11 +92,10 @@ def _emit(n: int):
                 starts = np.append(first[:-1][keep], first[-1])
                 sk = sketches(h, starts)
                 u, at = distinct(h, starts)
-                digest = W.mix(np.add.reduceat(W.mix(u), at[:-1]) + np.diff(at).astype(np.uint64))
+                digest, digest2 = _digests(u, at)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(lo, hi - lo).take(pa.array(keep)).cast(pa.int64()), pa.array(digest.view(np.int64)),
-                        pa.array(np.bitwise_xor.reduceat(u, at[:-1]).view(np.int64)),
+                        ids.slice(lo, hi - lo).take(pa.array(keep)).cast(pa.int64()), pa.array(digest), pa.array(digest2),
                         pa.array([r.tobytes() for r in sk.astype("<u4")], type=pa.binary()),
                     ], ["doc", "digest", "digest2", "sketch"],
                 )
@@ -288,31 +294,36 @@ def runs_for(recall: float, threshold: float, degree: int, depth: int) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meets)))
 
 
-def similar_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, recall: float = 0.95, bucket: int = 1000, depth: int = 2) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b: documents whose sets of word n-grams have at least the Jaccard similarity.
+def _sets_of(n: int):
+    """Like _sets, of the rows whose set has the digests that are asked for: a doc_id may have several texts."""
 
-    docs needs doc_id and text.  Documents with equal sets appear as (smallest
-    doc_id, other doc_id, 1.0), and the smallest alone is compared with the rest.
-    A text of 1 to n-1 words has one n-gram, all its words; one without words, a
-    null text and a null doc_id are in no pair.  Rows that share a doc_id are one
-    document that is similar to whatever one of its texts is similar to.  Other
-    columns are ignored; an empty table gives an empty result.  Where a pair meets
-    at all is a matter of chance, fixed by the code: at the threshold it has the
-    probability ``recall`` at least, and a higher one above.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, text, digest, digest2, buckets = batch.columns
+            for lo, hi in W.chunks(text):
+                u, at = distinct(*shingles(text.slice(lo, hi - lo), n))
+                keep = np.flatnonzero(np.diff(at) > 0)
+                if not len(keep):
+                    continue
+                d, d2 = _digests(u, np.append(at[:-1][keep], at[-1]))
+                same = (d == digest.slice(lo, hi - lo).to_numpy()[keep]) & (d2 == digest2.slice(lo, hi - lo).to_numpy()[keep])
+                rows = pa.array(keep[same])
+                sets = [u[at[i] : at[i + 1]].tobytes() for i in keep[same]]
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).take(rows), pa.array(sets, type=pa.binary()), buckets.slice(lo, hi - lo).take(rows)], ["doc", "grams", "buckets"])
+
+    return run
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc is not null and text is not null")
+
+
+def _meeting(stands: DataFrame, threshold: float, recall: float, bucket: int, depth: int) -> DataFrame:
+    """Of (stand, sketch): the stands that are to be compared, each with the buckets in which it is (doc, buckets)."""
     degree = max(1, round(1 / threshold))
     runs = runs_for(recall, threshold, degree, depth)
     margin = 2.5 * math.sqrt(threshold * (1 - threshold) / SKETCH)
     at_least = max(1, math.floor(SKETCH * (threshold - margin)))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc is not null and text is not null")
-    rows = X.written(texts.mapInArrow(_emit(n), "doc long, digest long, digest2 long, sketch binary"), "sketches")
-    stands = rows.groupBy("digest", "digest2").agg(F.min_by("sketch", "doc").alias("sketch"), F.min("doc").alias("stand"))
-    equal = (
-        rows.select("doc", "digest", "digest2")
-        .withColumn("a", F.min("doc").over(Window.partitionBy("digest", "digest2")))
-        .where("a < doc")
-        .select("a", F.col("doc").alias("b"), F.lit(1.0).alias("jaccard"))
-    )
     nodes = stands.select("stand", "sketch").mapInArrow(_roots(runs, degree), "path long, run int, doc long, sketch binary")
     leaves = []
     for level in range(depth):
@@ -328,15 +339,73 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, recall: f
         found = found.unionByName(x)
     alike = found.repartition("path").sortWithinPartitions("path").mapInArrow(_alike(at_least), "a long, b long, path long")
     meet = X.written(alike.groupBy("a", "b").agg(F.min("path").alias("path")), "candidates")
-    members = X.written(meet.select("path", F.explode(F.array("a", "b")).alias("doc")).distinct().groupBy("doc").agg(F.collect_list("path").alias("buckets")), "members")
-    sets = X.sieved(texts, "doc", members).join(members, "doc").select("doc", "text", "buckets").mapInArrow(_sets(n), "doc long, grams binary, buckets array<long>")
-    compared = (
-        sets.select(F.explode("buckets").alias("path"), "doc", "grams")
-        .repartition("path")
-        .sortWithinPartitions("path")
-        .mapInArrow(_compare(threshold), "a long, b long, jaccard double")
+    return X.written(meet.select("path", F.explode(F.array("a", "b")).alias("doc")).distinct().groupBy("doc").agg(F.collect_list("path").alias("buckets")), "members")
+
+
+def _compared(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of (doc, grams, buckets); a pair may come more than once."""
+    by_path = sets.select(F.explode("buckets").alias("path"), "doc", "grams").repartition("path").sortWithinPartitions("path")
+    return by_path.mapInArrow(_compare(threshold), "a long, b long, jaccard double")
+
+
+def similar_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, recall: float = 0.95, bucket: int = 1000, depth: int = 2) -> DataFrame:
+    """(doc_a, doc_b, jaccard), doc_a < doc_b: the pairs of all_similar_pairs from which groups follow.
+
+    Documents with equal sets appear as (smallest doc_id, other doc_id, 1.0), and the
+    smallest alone is compared with the rest.  All else is as in all_similar_pairs.
+    """
+    texts = _texts(docs)
+    rows = X.written(texts.mapInArrow(_emit(n), "doc long, digest long, digest2 long, sketch binary"), "sketches")
+    stands = rows.groupBy("digest", "digest2").agg(F.min_by("sketch", "doc").alias("sketch"), F.min("doc").alias("stand"))
+    equal = (
+        rows.select("doc", "digest", "digest2")
+        .withColumn("a", F.min("doc").over(Window.partitionBy("digest", "digest2")))
+        .where("a < doc")
+        .select("a", F.col("doc").alias("b"), F.lit(1.0).alias("jaccard"))
     )
-    return equal.unionByName(compared).where("a < b").groupBy(F.col("a").alias("doc_a"), F.col("b").alias("doc_b")).agg(F.max("jaccard").alias("jaccard"))
+    members = _meeting(stands, threshold, recall, bucket, depth)
+    sets = X.sieved(texts, "doc", members).join(members, "doc").select("doc", "text", "buckets").mapInArrow(_sets(n), "doc long, grams binary, buckets array<long>")
+    return equal.unionByName(_compared(sets, threshold)).where("a < b").groupBy(F.col("a").alias("doc_a"), F.col("b").alias("doc_b")).agg(F.max("jaccard").alias("jaccard"))
+
+
+def all_similar_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, recall: float = 0.95, bucket: int = 1000, depth: int = 2, block: int = 1000) -> DataFrame:
+    """(doc_a, doc_b, jaccard), doc_a < doc_b: documents whose sets of word n-grams have at least the Jaccard similarity.
+
+    docs needs doc_id and text.  Every pair of documents is a row, so k documents with
+    equal sets give k (k - 1) / 2 of them, and each has its own rows with the near copies.
+    A text of 1 to n-1 words has one n-gram, all its words; one without words, a
+    null text and a null doc_id are in no pair.  Rows that share a doc_id are one
+    document that is similar to whatever one of its texts is similar to.  Other
+    columns are ignored; an empty table gives an empty result.  Pairs of equal sets are
+    always found.  Where another pair meets at all is a matter of chance, fixed by the
+    code: at the threshold it has the probability ``recall`` at least, and a higher one above.
+    Members are put back in blocks of at most ``block`` x ``block`` pairs, so large groups are spread.
+    """
+    texts = _texts(docs)
+    rows = X.written(texts.mapInArrow(_emit(n), "doc long, digest long, digest2 long, sketch binary"), "sketches")
+    equal = rows.groupBy("digest", "digest2").agg(F.min_by("sketch", "doc").alias("sketch"), F.array_sort(F.collect_set("doc")).alias("docs"))
+    equal = X.written(equal.withColumn("stand", F.monotonically_increasing_id()), "equal")
+    members = _meeting(equal, threshold, recall, bucket, depth)
+    asked = equal.select(F.col("stand"), F.col("docs")[0].alias("doc"), "digest", "digest2").join(members.withColumnRenamed("doc", "stand"), "stand")
+    asked = X.written(asked, "asked")
+    slim = X.sieved(texts, "doc", asked.select("doc").distinct()).join(asked, "doc")
+    sets = slim.select("stand", "text", "digest", "digest2", "buckets").mapInArrow(_sets_of(n), "doc long, grams binary, buckets array<long>")
+    pairs = _compared(sets, threshold).where("a < b").groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
+    pairs = pairs.unionByName(equal.where(F.size("docs") > 1).select(F.col("stand").alias("a"), F.col("stand").alias("b"), F.lit(1.0).alias("jaccard")))
+    # a pair of documents can come twice only if one of them has texts in several groups
+    several = equal.select("stand", F.explode("docs").alias("doc")).groupBy("doc").agg(F.collect_set("stand").alias("stands")).where(F.size("stands") > 1)
+    several = several.select(F.explode("stands").alias("stand")).distinct().withColumn("twice", F.lit(True))
+    at = F.explode(F.sequence(F.lit(0), F.floor((F.size("docs") - 1) / block).cast("int"))).alias("part")
+    parts = equal.join(several, "stand", "left").select("stand", F.coalesce("twice", F.lit(False)).alias("twice"), "docs", at)
+    parts = parts.select("stand", "twice", "part", F.slice("docs", F.col("part") * block + 1, F.lit(block)).alias("docs"))
+    parts = X.written(parts, "parts")
+    sides = [parts.select(*[F.col(c).alias(f"{c}_{k}") for c in parts.columns]) for k in "ab"]
+    blocks = pairs.join(sides[0], F.col("a") == F.col("stand_a")).join(sides[1], F.col("b") == F.col("stand_b")).where("a != b or part_a <= part_b")
+    blocks = blocks.select("a", "b", "jaccard", "part_a", "part_b", "docs_a", "docs_b", (F.col("twice_a") | F.col("twice_b")).alias("twice"))
+    blocks = X.written(blocks.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b", "part_a", "part_b"), "blocks")
+    out = blocks.select("a", "b", "jaccard", "twice", "docs_b", F.explode("docs_a").alias("x")).select("a", "b", "jaccard", "twice", "x", F.explode("docs_b").alias("y"))
+    out = out.where("x < y or (a != b and x > y)").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard", "twice")
+    return out.where("not twice").drop("twice").unionByName(out.where("twice").groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard")))
 
 
 def groups(pairs: DataFrame, rounds: int = 40) -> DataFrame:

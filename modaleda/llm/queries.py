@@ -50,7 +50,7 @@ def op9_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chosen_path.similar_pairs(table(spark, sf_dir, "documents"))
+    return chosen_path.all_similar_pairs(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -376,6 +376,26 @@ def test_similar_pairs(spark, bucket):
     assert set(got) <= expected and len(got) >= 0.9 * len(expected) > 50
 
 
+@pytest.mark.parametrize("block", [1000, 2])
+def test_every_pair_of_copies_and_near_copies(spark, block):
+    rows = corpus(14, 300)
+    rows += [(1000 + i, rows[7][1]) for i in range(5)] + [(2000 + i, rows[9][1] + " end") for i in range(4)]
+    want = all_similar(rows)
+    found = chosen_path.all_similar_pairs(table(spark, rows), block=block).collect()
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in found}
+    assert len(got) == len(found) and all(got[p] == pytest.approx(want[p]) for p in got)
+    assert {p for p in want if want[p] == 1} <= set(got) and len(got) >= 0.9 * len(want) > 50
+    assert {(1000, 1004), (2000, 2003), (9, 2002), (7, 1003)} <= set(got)
+
+
+def test_a_doc_id_with_several_texts(spark):
+    rng = random.Random(15)
+    x, y, z = (" ".join(random_text(rng, 40)) for _ in range(3))
+    rows = [(1, x), (1, y), (2, x), (3, y + " end"), (4, y), (5, z), (1, x), (4, x)]
+    found = chosen_path.all_similar_pairs(table(spark, rows)).collect()
+    assert sorted((r.doc_a, r.doc_b, round(r.jaccard, 4)) for r in found) == [(1, 2, 1.0), (1, 3, 0.9744), (1, 4, 1.0), (2, 4, 1.0), (3, 4, 0.9744)]
+
+
 def test_groups_are_connected_components(spark):
     rng = random.Random(13)
     pairs = [(a, a + rng.randrange(1, 4)) for a in range(0, 200, 2) if rng.random() < 0.8] + [(i, i + 1) for i in range(500, 560)]
