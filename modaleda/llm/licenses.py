@@ -40,6 +40,8 @@ TEMPLATES: dict[str, str] = {
 }
 COMMON = frozenset("a an and any are as at be by can either for free from in is it may no not of on or other person source that the this to under use version with without work you".split())
 
+PAIRS = 20
+
 
 def tokens(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(text)]
@@ -94,6 +96,7 @@ class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float, stretch: float):
         self.coverage, self.stretch = coverage, stretch
         self.templates = {name: tokens(t) for name, t in templates.items()}
+        self.words = {name: frozenset(t) for name, t in self.templates.items()}
         spread = Counter(w for t in self.templates.values() for w in set(t))
         self.keys: dict[str, dict[str, list[int]]] = {}
         for name, t in self.templates.items():
@@ -103,6 +106,33 @@ class Scanner:
                 self.keys.setdefault(t[i], {}).setdefault(name, []).append(i)
         self.any_key = r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(re.escape(k) for k in sorted(self.keys, key=len, reverse=True)) + r")(?![\p{L}\p{N}])"
 
+    def fit(self, words: list[str], lo: int, hi: int, template: list[str]) -> tuple[float, int, int] | None:
+        """(coverage, first word, word after the last) of the alignment in a window, if it covers enough in a short enough stretch."""
+        matched = align(words[lo:hi], template)
+        share = len(matched) / len(template)
+        if not matched or share < self.coverage - 1e-9:
+            return None
+        first, end = lo + matched[0][0], lo + matched[-1][0] + 1
+        return (share, first, end) if end - first <= self.stretch * len(template) + 1e-9 else None
+
+    def tighter(self, words: list[str], lo: int, hi: int, template: list[str], least: int) -> tuple[float, int, int] | None:
+        """The best fit in windows from and to each place where a stretch that covers enough can begin and end.
+
+        In the whole window a stray word at its edge can be taken for the template's end, or one
+        that comes again can stop being an anchor.  All pairs of ends are tried for templates of up
+        to PAIRS words; a longer one is tried from each beginning, and to each end, at full length.
+        """
+        spare, most = len(template) - least, math.floor(self.stretch * len(template) + 1e-9)
+        heads, tails = set(template[: spare + 1]), set(template[least - 1 :])
+        begins = [i for i in range(lo, hi) if words[i] in heads]
+        ends = [i + 1 for i in range(lo, hi) if words[i] in tails]
+        if len(template) <= PAIRS:
+            windows = [(i, j) for i in begins for j in ends if least <= j - i <= most]
+        else:
+            windows = [(i, min(hi, i + most)) for i in begins] + [(max(lo, j - most), j) for j in ends]
+        hits = [h for i, j in windows if (h := self.fit(words, i, j, template))]
+        return max(hits, key=lambda h: (h[0], -h[1], -h[2]), default=None)
+
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(license, coverage, first word, word after the last) of the best stretch for each license, the earliest of the best."""
         words = tokens(text)
@@ -115,15 +145,14 @@ class Scanner:
             template = self.templates[name]
             slack = math.ceil(len(template) * (self.stretch - 1))
             best = None
+            wanted, least = self.words[name], math.ceil(self.coverage * len(template) - 1e-9)
             for s in sorted(candidates):
                 lo, hi = max(0, s - slack), min(len(words), s + len(template) + slack)
-                matched = align(words[lo:hi], template)
-                share = len(matched) / len(template)
-                if not matched or share < self.coverage - 1e-9:
+                if sum(w in wanted for w in words[lo:hi]) < least:
                     continue
-                first, end = lo + matched[0][0], lo + matched[-1][0] + 1
-                if end - first <= self.stretch * len(template) + 1e-9 and (best is None or share > best[1] + 1e-12):
-                    best = (name, share, first, end)
+                hit = self.fit(words, lo, hi, template) or self.tighter(words, lo, hi, template, least)
+                if hit and (best is None or hit[0] > best[1] + 1e-12):
+                    best = (name, *hit)
             if best:
                 out.append(best)
         return sorted(out)

@@ -95,6 +95,16 @@ def test_license_scan_finds_what_every_window_finds(spark):
     assert len(got) >= 0.98 * len(want) > 60
 
 
+def test_a_notice_before_words_like_its_own(spark):
+    texts = [
+        "here is our code Released under the MIT License. See the license for more",
+        "one two three the license is this: Released under the MIT License and the license is short",
+        "a b c d e f License is below. Licensed under CC BY-NC 4.0. Licensed 4.0 under it",
+    ]
+    got = {(r.doc_id, r.license): (r.coverage, r.first_word, r.end_word) for r in licenses.license_scan(table(spark, list(enumerate(texts)))).collect()}
+    assert got[0, "MIT"] == (1.0, 4, 9) and got[1, "MIT"] == (1.0, 7, 12) and got[2, "CC-BY-NC-4.0"] == (1.0, 9, 14)
+
+
 # 2 mixing
 
 
