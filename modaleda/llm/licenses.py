@@ -36,7 +36,34 @@ TEMPLATES: dict[str, str] = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "all-rights": "Copyright. All rights reserved.",
+    "all-rights": "All rights reserved.",
+    # other wordings: a short notice may not miss a word, as without its name any other license would do
+    "Apache-2.0-short": "under the Apache License 2.0",
+    "MIT-short": "under the MIT License",
+    "MIT-title": "The MIT License (MIT)",
+    "GPL-3.0-short": "under the GNU General Public License v3",
+    "GPL-3.0-version": "under the GNU General Public License version 3",
+    "CC-BY-NC-4.0-short": "CC BY-NC 4.0",
+    "CC-BY-SA-4.0-short": "CC BY-SA 4.0",
+    "CC-BY-4.0-short": "CC BY 4.0",
+    "CC-BY-NC-4.0-name": "Creative Commons Attribution-NonCommercial 4.0 International",
+    "CC-BY-SA-4.0-name": "Creative Commons Attribution-ShareAlike 4.0 International",
+    "CC-BY-4.0-name": "Creative Commons Attribution 4.0 International",
+    # fuller texts
+    "Apache-2.0-text": """Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+        WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "MIT-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
+        to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense,
+        and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+        The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+        FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
+        WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "GPL-3.0-text": """This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+        See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program.""",
+    "BSD-text": """Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
+    "ISC-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
 }
 COMMON = frozenset("a an and any are as at be by can either for free from in is it may no not of on or other person source that the this to under use version with without work you".split())
 

@@ -95,6 +95,19 @@ def test_license_scan_finds_what_every_window_finds(spark):
     assert len(got) >= 0.98 * len(want) > 60
 
 
+def test_notices_in_other_words(spark):
+    mit = licenses.TEMPLATES["MIT-text"].replace("Software", "Program", 2).replace("AUTHORS", "X CONSORTIUM")
+    planted = [
+        ("All rights reserved.", "all-rights"), ("Copyright 2024 Acme Corp. All rights reserved.", "all-rights"), ("(c) 2020 A. Author, all rights are reserved", "all-rights"),
+        ("Licensed under the MIT License", "MIT"), ("It is available under the MIT license.", "MIT"), ("Licensed under the Apache License 2.0", "Apache-2.0"), ("under the Apache License, Version 2.0", "Apache-2.0"),
+        ("free under the GNU General Public License v3", "GPL-3.0"), ("shared as CC BY-NC 4.0", "CC-BY-NC-4.0"), ("under a Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-4.0"), (mit, "MIT-text"),
+    ]
+    rows = [(i, f"some words before {t} and some words after") for i, (t, _) in enumerate(planted)] + [(99, "Released under the BSD License. Some rights are reserved, and the license is long.")]
+    got = {(r.doc_id, r.license) for r in licenses.license_scan(table(spark, rows)).collect()}
+    assert all(any(i == d and n.startswith(name) for d, n in got) for i, (_, name) in enumerate(planted))
+    assert all(d != 99 for d, _ in got)
+
+
 def test_a_notice_before_words_like_its_own(spark):
     texts = [
         "here is our code Released under the MIT License. See the license for more",
