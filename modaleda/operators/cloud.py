@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import stats
@@ -70,7 +71,7 @@ def attributes(points: DataFrame) -> DataFrame:
         return out
     top = p.groupBy(ID).agg(F.max(F.greatest("r", "g", "b")).alias("top"))
     scale = F.when(F.col("top") > 1, F.greatest(F.lit(255.0), F.col("top"))).otherwise(1.0)
-    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c) / scale))
+    unit = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c) / scale)))
     rgb = p.join(top, ID).groupBy(ID).agg(*[f(unit(c)).alias(f"{c}_{n}") for c in "rgb" for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
     return out.join(rgb, ID)
 
@@ -100,24 +101,84 @@ def shape(points: DataFrame) -> DataFrame:
     return covariance(points).mapInPandas(lambda it: (solve(f) for f in it), schema)
 
 
-def nearest_neighbours(points: DataFrame, sample: int = 10_000, order: str = "point_idx") -> DataFrame:
-    """(cloud_id, nearest_neighbor_mean, _median, _std) among at most ``sample`` points of each cloud; 0 below two points."""
+def _tiled(points: DataFrame, size: int) -> DataFrame:
+    """(cloud_id, tile, x, y, z): slabs of about equal counts by x, of these by y and of these by z, of about ``size`` points each."""
+    p = points.select(ID, *[F.col(c).cast("double").alias(c) for c in XYZ])
+    p = p.withColumn("k", F.ceil(F.pow(F.count(F.lit(1)).over(Window.partitionBy(ID)) / size, 1 / 3)))
+    done = [ID]
+    for c in XYZ:
+        n = F.count(F.lit(1)).over(Window.partitionBy(*done))
+        at = F.row_number().over(Window.partitionBy(*done).orderBy(c, *[o for o in XYZ if o != c])) - 1
+        p = p.withColumn(f"t{c}", F.floor(at * F.col("k") / n))
+        done.append(f"t{c}")
+    return p.select(ID, ((F.col("tx") * F.col("k") + F.col("ty")) * F.col("k") + F.col("tz")).alias("tile"), *XYZ)
+
+
+def _least_squares(p: np.ndarray, q: np.ndarray, itself: bool) -> np.ndarray:
+    """The least squared distance of each of p to those of q, or to the others where q is p."""
+    out = np.full(len(p), np.inf)
+    for lo in range(0, len(p), 512):
+        s = np.zeros((min(512, len(p) - lo), len(q)))
+        for k in range(3):
+            s += (p[lo : lo + 512, k, None] - q[None, :, k]) ** 2
+        if itself:
+            s[np.arange(len(s)), lo + np.arange(len(s))] = np.inf
+        out[lo : lo + 512] = s.min(axis=1)
+    return out
+
+
+def nearest_distances(points: DataFrame, size: int = 512) -> DataFrame:
+    """(cloud_id, d): of each point the distance to the nearest other one of its cloud, exactly; infinite where there is none.
+
+    A point is first held against those of its own tile, and then against each tile whose box is nearer than what was found.
+    """
     kind = dict(points.dtypes)[ID]
-    some = stats.sample_per_group(finite_points(points), ID, order, sample)
 
-    def solve(f: pd.DataFrame) -> pd.DataFrame:
+    def own(f: pd.DataFrame) -> pd.DataFrame:
         p = f[list(XYZ)].to_numpy(np.float64)
-        d = np.zeros(max(1, len(p)))
-        if len(p) > 1:
-            for lo in range(0, len(p), 512):
-                s = np.zeros((min(512, len(p) - lo), len(p)))
-                for k in range(3):
-                    s += (p[lo : lo + 512, k, None] - p[None, :, k]) ** 2
-                s[np.arange(len(s)), lo + np.arange(len(s))] = np.inf
-                d[lo : lo + 512] = np.sqrt(s.min(axis=1))
-        return pd.DataFrame({"cloud_id": [f.cloud_id.iloc[0]], "nearest_neighbor_mean": [d.mean()], "nearest_neighbor_median": [np.median(d)], "nearest_neighbor_std": [d.std()]})
-
-    return some.groupBy(ID).applyInPandas(solve, f"cloud_id {kind}, nearest_neighbor_mean double, nearest_neighbor_median double, nearest_neighbor_std double")
+        s = _least_squares(p, p, True)
+        lo, hi = p.min(axis=0), p.max(axis=0)
+        return pd.DataFrame({"cloud_id": [f.cloud_id.iloc[0]], "tile": [f.tile.iloc[0]], "lo": [lo.tolist()], "hi": [hi.tolist()], "far": [s.max()], "xyz": [p.tobytes()], "s": [s.tobytes()]})
+
+    def against(frames):
+        for f in frames:
+            for cloud_id, tile, xyz, s, other, lo, hi in zip(f.cloud_id, f.tile, f.xyz, f.s, f.other, f.lo, f.hi):
+                p, s, q = np.frombuffer(xyz).reshape(-1, 3), np.frombuffer(s), np.frombuffer(other).reshape(-1, 3)
+                gap = np.maximum(0, np.maximum(np.array(lo) - p, p - np.array(hi)))
+                near = np.flatnonzero((gap * gap).sum(axis=1) < s)
+                if len(near):
+                    new = _least_squares(p[near], q, False)
+                    less = new < s[near]
+                    yield pd.DataFrame({"cloud_id": cloud_id, "tile": tile, "at": near[less], "s": new[less]})
+
+    def unrolled(frames):
+        for f in frames:
+            for cloud_id, tile, s in zip(f.cloud_id, f.tile, f.s):
+                s = np.frombuffer(s)
+                yield pd.DataFrame({"cloud_id": cloud_id, "tile": tile, "at": np.arange(len(s)), "s": s})
+
+    tiles = _tiled(points, size).groupBy(ID, "tile").applyInPandas(own, f"cloud_id {kind}, tile long, lo array<double>, hi array<double>, far double, xyz binary, s binary").persist(StorageLevel.DISK_ONLY)
+    boxes = tiles.select(ID, "tile", "lo", "hi", "far")
+    a, b = boxes.alias("a"), boxes.alias("b")
+    gap = lambda i: F.greatest(F.lit(0.0), F.col("a.lo")[i] - F.col("b.hi")[i], F.col("b.lo")[i] - F.col("a.hi")[i])
+    near = a.join(b, (F.col("a.cloud_id").eqNullSafe(F.col("b.cloud_id"))) & (F.col("a.tile") != F.col("b.tile")) & (gap(0) * gap(0) + gap(1) * gap(1) + gap(2) * gap(2) < F.col("a.far")))
+    near = near.select(F.col("a.cloud_id").alias("cloud"), F.col("a.tile").alias("ta"), F.col("b.tile").alias("tb"), F.col("b.lo").alias("lo"), F.col("b.hi").alias("hi"))
+    others = tiles.select(F.col(ID).alias("c2"), F.col("tile").alias("t2"), F.col("xyz").alias("other"))
+    pairs = near.join(others, F.col("cloud").eqNullSafe(F.col("c2")) & (F.col("tb") == F.col("t2"))).drop("c2", "t2")
+    pairs = pairs.join(tiles.select(ID, "tile", "xyz", "s"), F.col("cloud").eqNullSafe(F.col(ID)) & (F.col("ta") == F.col("tile")))
+    schema = f"cloud_id {kind}, tile long, at long, s double"
+    better = pairs.select(ID, "tile", "xyz", "s", "other", "lo", "hi").mapInPandas(against, schema)
+    every = tiles.select(ID, "tile", "s").mapInPandas(unrolled, schema).unionByName(better)
+    return every.groupBy(ID, "tile", "at").agg(F.min("s").alias("s")).select(ID, F.sqrt("s").alias("d"))
+
+
+def nearest_neighbours(points: DataFrame, sample: int | None = None, order: str = "point_idx") -> DataFrame:
+    """(cloud_id, nearest_neighbor_mean, _median, _std) among all points of each cloud, or ``sample`` of them; 0 below two points."""
+    some = finite_points(points)
+    if sample is not None:
+        some = stats.sample_per_group(some, ID, order, sample)
+    d = nearest_distances(some).withColumn("d", F.when(F.col("d") == float("inf"), 0.0).otherwise(F.col("d")))
+    return d.groupBy(ID).agg(F.avg("d").alias("nearest_neighbor_mean"), F.percentile("d", 0.5).alias("nearest_neighbor_median"), F.stddev_pop("d").alias("nearest_neighbor_std"))
 
 
 def records(points: DataFrame, order: str = "point_idx", neighbours: bool = True) -> DataFrame:

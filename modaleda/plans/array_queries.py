@@ -125,6 +125,12 @@ def clouds(t):
     return a.select("cloud_id", "x", "y", "z", "intensity").unionByName(derived.lineitem_clouds(t("lineitem")))
 
 
+def coloured_clouds(t):
+    """The same with r, g and b, which are null in the clouds of lineitem."""
+    a = derived.embedding_clouds(t("embeddings")).withColumn("cloud_id", F.col("cloud_id").cast("string"))
+    return a.drop("point_idx").unionByName(derived.lineitem_clouds(t("lineitem")), allowMissingColumns=True)
+
+
 _EXT = ", ".join(f"min({c}) as {c}_min, max({c}) as {c}_max, avg({c}) as {c}_mean, stddev_pop({c}) as {c}_std, max({c}) - min({c}) as span_{c}" for c in "xyz")
 _EXT_NAMES = [f"{c}_{n}" for c in "xyz" for n in ("min", "max", "mean", "std")] + [f"span_{c}" for c in "xyz"]
 _VOLUME = " * ".join(f"greatest(span_{c}, 1e-12)" for c in "xyz")
@@ -170,7 +176,7 @@ def cloud_shape_descriptors(t):
 
 @query(f"with p as ({CLOUD_A}), d as (select a.cloud_id, a.vec_id, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))) as d from p a join p b on a.cloud_id = b.cloud_id and a.vec_id != b.vec_id group by all) select cloud_id, round(avg(d), 6) as nearest_neighbor_mean, round(quantile_cont(d, 0.5), 6) as nearest_neighbor_median, round(stddev_pop(d), 6) as nearest_neighbor_std from d group by cloud_id")
 def cloud_nearest_neighbours(t):
-    return rounded(C.nearest_neighbours(derived.embedding_clouds(t("embeddings")).withColumn("cloud_id", F.col("cloud_id").cast("string"))))
+    return rounded(C.nearest_neighbours(clouds(t)))
 
 
 @query(f"with {CLOUDS}, e as (select cloud_id, min(x) as xa, max(x) as xb, min(y) as ya, max(y) as yb from p group by 1) select cloud_id, least(floor((x - xa) / ((xb - xa) / 80)), 79)::int as bx, least(floor((y - ya) / ((yb - ya) / 80)), 79)::int as by, count(*)::bigint as count from p join e using (cloud_id) group by all")
@@ -185,12 +191,12 @@ def cloud_height_histogram(t):
 
 @query()
 def cloud_records(t):
-    return rounded(C.records(derived.embedding_clouds(t("embeddings"))))
+    return rounded(C.records(coloured_clouds(t)))
 
 
 @query()
 def cloud_pairwise_distance(t):
-    rec = C.records(derived.embedding_clouds(t("embeddings")))
+    rec = C.records(coloured_clouds(t))
     return rounded(distance.euclidean(rec, "cloud_id", C.DISTANCE_METRICS))
 
 
