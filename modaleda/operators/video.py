@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 ID = "video_id"
 
 
-def sampled(pixels: DataFrame, every: int = 5, most: int = 300) -> DataFrame:
-    """Pixels of every n-th frame, the first ``most`` of them."""
-    return pixels.where((F.col("frame_idx") % every == 0) & (F.col("frame_idx") < every * most))
+def sampled(pixels: DataFrame, every: int = 5, most: int | None = 300) -> DataFrame:
+    """Pixels of every n-th frame, the first ``most`` of them, or all."""
+    if every > 1:
+        pixels = pixels.where(F.col("frame_idx") % every == 0)
+    return pixels if most is None else pixels.where(F.col("frame_idx") < every * most)
 
 
 def _near(along: str, across: str, step: int):
@@ -56,5 +58,5 @@ def shape(pixels: DataFrame, fps: float = 30.0) -> DataFrame:
 DISTANCE_METRICS = ["n_frames", "fps", "duration_sec", "height", "width", "brightness_mean", "contrast_mean", "sharpness_mean", "blur_fraction", "motion_blur_fraction", "motion_intensity_mean", "scene_change_rate"]
 
 
-def records(pixels: DataFrame, fps: float = 30.0, every: int = 5, most: int = 300) -> DataFrame:
+def records(pixels: DataFrame, fps: float = 30.0, every: int = 1, most: int | None = None) -> DataFrame:
     return shape(pixels, fps).join(motion_summary(frame_stats(sampled(pixels, every, most))), ID)

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from modaleda import catalog
-from modaleda.operators import cloud
+from modaleda.operators import cloud, video
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -36,3 +36,17 @@ def test_clouds_of_both_tables(spark, name):
     got = catalog.QUERIES[name](spark, FOLDER).collect()
     assert {"A", "N", "R", "0"} <= {r.cloud_id for r in got}
     assert name != "cloud_records" or {r.n_points for r in got} == want and all((r.r_mean is None) == (r.cloud_id in "ANR") for r in got)
+
+
+def test_video_records_take_every_frame(spark):
+    got = {r.video_id: r for r in catalog.QUERIES["video_records"](spark, FOLDER).collect()}
+    want = {r.video_id: r for r in catalog.QUERIES["video_motion_summary"](spark, FOLDER).collect()}
+    assert set(got) == set(want)
+    for k, r in want.items():
+        assert got[k].sampled_frames == got[k].n_frames and all(got[k][c] == pytest.approx(r[c]) for c in r.asDict()), k
+
+
+def test_video_records_have_no_last_frame(spark):
+    rows = [("v", i, 0, 0, 200 if i == 1700 else 100) for i in range(1800)]
+    got = video.records(spark.createDataFrame(rows, "video_id string, frame_idx int, y int, x int, gray int")).collect()[0]
+    assert (got.sampled_frames, got.scene_change_count) == (1800, 2)
