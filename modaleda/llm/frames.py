@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,57 +28,77 @@ def unpacked(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, or where unset (tests) one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir of the session.  Where it is unset, a local session (tests) gets one of our own; a cluster has no such place, and is refused."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file:/tmp/modaleda-checkpoint"
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df, written to the shared folder and read again: its lineage is cut, and losing an executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """df, written to the shared folder and read again: its lineage is cut, and losing an executor loses nothing.
+
+    What ``dropped`` doesn't remove before goes when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Removes the files of a table that ``written`` made."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """df by key in as many partitions as the session shuffles into, for work that takes much time a byte: adaptive planning would merge them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
+def first_of(df: DataFrame, *key: str) -> DataFrame:
+    """One row of each key; rows of a hot key are thinned before the shuffle."""
+    return df.withColumn("__nth__", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))).where("__nth__ = 1").drop("__nth__")
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes the files of tables that ``written`` made, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def sieved(df: DataFrame, key: str, kept: DataFrame, most: int = 1 << 25) -> DataFrame:
-    """df without most of the rows whose ``key`` is not among the keys of ``kept`` (where each stands once), for a join to shuffle less.
+def sieve(kept: DataFrame, most: int = 1 << 25) -> Callable[..., Column] | None:
+    """A test of whether a row's key may be among the rows of kept (where each stands once): a function of the key's columns, given in the order of those of kept.
 
-    A bitmap of 16 places for each of these keys is tested, so one of 16 other rows slips through.
-    Beyond ``most`` keys, where the bitmap would take more than 64 MB, df comes back as it is.
+    A bitmap of 16 places for each key is tested, so one of 16 other rows slips through; a join must decide.
+    Beyond ``most`` keys, where the bitmap would take more than 64 MB, there is None: the join then has to shuffle all rows.
     """
     n = kept.count()
     if n > most:
-        return df
+        return None
     places = 16 * max(n, 1)
 
-    def place(k: str) -> Column:
-        return F.pmod(F.xxhash64(k), F.lit(places)) + 1
+    def place(*key: Column | str) -> Column:
+        return F.pmod(F.xxhash64(*key), F.lit(places)) + 1
 
-    parts = kept.select(place(key).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    parts = kept.select(place(*kept.columns).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
     size = 4096  # bytes of a part
     bits = np.zeros((places // (8 * size) + 1) * size, dtype=np.uint8)
     for r in parts:
         bits[(r.b - 1) * size : r.b * size] = np.frombuffer(r.bits, dtype=np.uint8)
-    shared = df.sparkSession.sparkContext.broadcast(bits)
+    shared = kept.sparkSession.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
     def there(p: pd.Series) -> pd.Series:
         at = p.to_numpy() - 1
         return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
 
-    return df.where(there(place(key)))
+    return lambda *key: there(place(*key))
 
 
 LONG = T.LongType()

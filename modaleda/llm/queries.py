@@ -49,15 +49,15 @@ def op9_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_sequences(table(spark, sf_dir, "documents"))
 
 
-def op10_similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chosen_path.all_similar_pairs(table(spark, sf_dir, "documents"))
+def op10_similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.similar_classes(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_source_mix, op3_repeated_spans, op4_html_content, op5_nearest_vectors,
-        op6_token_counts, op7_toxic_documents, op8_kept_copies, op9_packed_sequences, op10_similar_pairs,
+        op6_token_counts, op7_toxic_documents, op8_kept_copies, op9_packed_sequences, op10_similar_documents,
     )
 }
 
@@ -87,13 +87,13 @@ p as (select a.vec_id, b.vec_id as neighbor_id, round(list_dot_product(a.e, b.e)
 r as (select *, row_number() over (partition by vec_id order by similarity desc, neighbor_id) as rank from p)
 select vec_id, rank::int as rank, neighbor_id, similarity from r where rank <= 10""",
     "op8_kept_copies": "select min(doc_id) as doc_id, md5(text) as digest, count(*)::bigint as n_copies from documents group by text",
-    "op10_similar_pairs": rf"""
-with d as (select doc_id, {WORDS} as w from documents),
+    "op10_similar_documents": rf"""
+with recursive d as (select doc_id, {WORDS} as w from documents),
 s as (select doc_id, case when len(w) < 3 then [array_to_string(w, ' ')] else list_distinct([array_to_string(w[i + 1 : i + 3], ' ') for i in range(0, len(w) - 2)]) end as g from d where len(w) > 0),
-k as (select doc_id, g, md5(array_to_string(list_sort(g), '|')) as digest from s),
-u as (select digest, min(doc_id) as doc_id, first(g order by doc_id) as g from k group by digest),
-e as (select doc_id, len(g) as n, unnest(g) as gram from u),
-i as (select a.doc_id as doc_a, b.doc_id as doc_b, count(*) as common, any_value(a.n) as na, any_value(b.n) as nb from e a join e b on a.gram = b.gram and a.doc_id < b.doc_id group by all)
-select doc_a, doc_b, common::double / (na + nb - common) as jaccard from i where common::double / (na + nb - common) >= 0.5
-union all select u.doc_id, k.doc_id, 1.0::double from k join u using (digest) where k.doc_id != u.doc_id""",
+e as (select doc_id, len(g) as n, unnest(g) as gram from s),
+i as (select a.doc_id as a, b.doc_id as b, count(*) as common, any_value(a.n) as na, any_value(b.n) as nb from e a join e b on a.gram = b.gram and a.doc_id != b.doc_id group by all),
+l as (select a, b from i where common::double / (na + nb - common) >= 0.5),
+r(a, b) as (select a, a from l union select r.a, l.b from r join l on r.b = l.a),
+c as (select a, min(b) as class_id from r group by a)
+select c.a as doc_id, class_id, (select count(*) from l where l.a = c.a)::bigint as n_links from c""",
 }

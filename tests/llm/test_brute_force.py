@@ -384,53 +384,96 @@ def all_similar(rows, threshold=0.5) -> dict[tuple[int, int], float]:
     return {(a, b): len(x & y) / len(x | y) for (a, x), (b, y) in itertools.combinations(sets, 2) if x and y and len(x & y) / len(x | y) >= threshold}
 
 
-@pytest.mark.parametrize("bucket", [1000, 4])
-def test_similar_pairs(spark, bucket):
+def classes_of(ids, pairs) -> dict[int, int]:
+    """The least of all that hang together with each."""
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize(("bucket", "block"), [(1000, 2048), (4, 2048), (16, 5)])
+def test_similar_classes(spark, bucket, block):
     rows = corpus(12, 300)
+    rows += [(1000 + i, rows[7][1]) for i in range(5)] + [(2000 + i, rows[9][1] + " end") for i in range(4)]
     want = all_similar(rows)
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in chosen_path.similar_pairs(table(spark, rows), bucket=bucket).collect()}
-    assert all(got[p] == pytest.approx(want[p]) for p in got)
-    # members of an equal set are found through the smallest of them
-    first: dict[frozenset, int] = {}
-    for i, t in rows:
-        first.setdefault(gram_set(t), i)
-    stand = {i: first[gram_set(t)] for i, t in rows}
-    expected = {p for p in want if (stand[p[0]] == p[0] and stand[p[1]] == p[1]) or stand[p[1]] == p[0]}
-    assert set(got) <= expected and len(got) >= 0.9 * len(expected) > 50
+    links = Counter(x for p in want for x in p)
+    found = chosen_path.similar_classes(table(spark, rows), bucket=bucket, block=block).collect()
+    got = {r.doc_id: r for r in found}
+    assert len(got) == len(found) and set(got) <= set(links)
+    assert all(r.n_links <= links[i] for i, r in got.items())
+    assert sum(r.n_links for r in found) >= 0.95 * sum(links.values()) > 100
+    wanted = classes_of([i for i, _ in rows], want)
+    assert all(wanted[r.class_id] == wanted[i] for i, r in got.items())
+    assert sum(r.class_id == wanted[i] for i, r in got.items()) >= 0.9 * len(links)
+    assert {got[i].class_id for i in range(1000, 1005)} == {got[7].class_id}
+
+
+def near_copies(n: int, changed: int = 6) -> list[tuple[int, str]]:
+    rng = random.Random(21)
+    base = [f"z{i}" for i in range(120)]
+    out = []
+    for i in range(n):
+        t = list(base)
+        for _ in range(changed):
+            t[rng.randrange(len(t))] = f"y{rng.randrange(10**6)}"
+        out.append((5000 + i, " ".join(t)))
+    return out
 
 
-@pytest.mark.parametrize("block", [1000, 2])
-def test_every_pair_of_copies_and_near_copies(spark, block):
-    rows = corpus(14, 300)
-    rows += [(1000 + i, rows[7][1]) for i in range(5)] + [(2000 + i, rows[9][1] + " end") for i in range(4)]
+@pytest.mark.parametrize("block", [2048, 100])
+def test_a_large_cluster_of_near_copies(spark, block):
+    rows = corpus(16, 60) + near_copies(400)
     want = all_similar(rows)
-    found = chosen_path.all_similar_pairs(table(spark, rows), block=block).collect()
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in found}
-    assert len(got) == len(found) and all(got[p] == pytest.approx(want[p]) for p in got)
-    assert {p for p in want if want[p] == 1} <= set(got) and len(got) >= 0.9 * len(want) > 50
-    assert {(1000, 1004), (2000, 2003), (9, 2002), (7, 1003)} <= set(got)
+    links = Counter(x for p in want for x in p)
+    found = {r.doc_id: r for r in chosen_path.similar_classes(table(spark, rows), bucket=50, block=block).collect()}
+    assert all(r.n_links <= links[i] for i, r in found.items())
+    assert sum(r.n_links for r in found.values()) >= 0.95 * sum(links.values())
+    assert {found[i].class_id for i, _ in rows if i >= 5000} == {5000}
+    kept = [r.doc_id for r in chosen_path.one_of_each_group(table(spark, rows), bucket=50, block=block).collect()]
+    classes = classes_of([i for i, _ in rows], want)
+    assert set(classes.values()) <= set(kept) and len(kept) == len(set(kept)) <= len(set(classes.values())) + 3
+
+
+def test_recall_of_pairs_near_the_threshold(spark):
+    rng = random.Random(22)
+    rows = []
+    for i in range(400):
+        a, k = [f"a{i}x{j}" for j in range(60)], rng.randrange(32, 36)
+        b = a[:k] + [f"b{i}x{j}" for j in range(4)]
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    want = {(2 * i, 2 * i + 1) for i in range(400) if len((x := gram_set(rows[2 * i][1])) & (y := gram_set(rows[2 * i + 1][1]))) >= 0.5 * len(x | y)}
+    got = {r.doc_id for r in chosen_path.similar_classes(table(spark, rows)).collect()}
+    assert len(want) > 50 and got <= {i for p in want for i in p} and len(got) / 2 >= 0.95 * len(want)
 
 
-def test_a_doc_id_with_several_texts(spark):
+def test_rows_that_share_a_doc_id(spark):
     rng = random.Random(15)
     x, y, z = (" ".join(random_text(rng, 40)) for _ in range(3))
     rows = [(1, x), (1, y), (2, x), (3, y + " end"), (4, y), (5, z), (1, x), (4, x)]
-    found = chosen_path.all_similar_pairs(table(spark, rows)).collect()
-    assert sorted((r.doc_a, r.doc_b, round(r.jaccard, 4)) for r in found) == [(1, 2, 1.0), (1, 3, 0.9744), (1, 4, 1.0), (2, 4, 1.0), (3, 4, 0.9744)]
+    found = chosen_path.similar_classes(table(spark, rows)).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in found) == [(1, 1, 2), (1, 1, 3), (1, 1, 3), (2, 1, 3), (3, 1, 2), (4, 1, 2), (4, 1, 3)]
+    kept = sorted((r.doc_id, r.text) for r in chosen_path.one_of_each_group(table(spark, rows)).collect())
+    assert kept == sorted([(1, x), (1, y), (5, z)])
 
 
-def test_groups_are_connected_components(spark):
-    rng = random.Random(13)
-    pairs = [(a, a + rng.randrange(1, 4)) for a in range(0, 200, 2) if rng.random() < 0.8] + [(i, i + 1) for i in range(500, 560)]
-    root = {x: x for p in pairs for x in p}
+def test_ids_may_be_strings(spark):
+    text = " ".join(random_text(random.Random(3), 40))
+    docs = spark.createDataFrame([("b", text), ("a", text + " end"), ("c", "other words altogether")], "doc_id string, text string")
+    assert sorted(tuple(r) for r in chosen_path.similar_classes(docs).collect()) == [("a", "a", 1), ("b", "a", 1)]
+    assert sorted(r.doc_id for r in chosen_path.one_of_each_group(docs).collect()) == ["a", "c"]
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
 
-    for a, b in pairs:
-        a, b = sorted((find(a), find(b)))
-        root[b] = a
-    got = {r.doc: r.root for r in chosen_path.groups(spark.createDataFrame(pairs, "doc_a long, doc_b long")).collect()}
-    assert got == {x: find(x) for x in root if find(x) != x}
+def test_components_are_connected(spark):
+    rng = random.Random(13)
+    pairs = [(a, a + rng.randrange(1, 4)) for a in range(0, 200, 2) if rng.random() < 0.8] + [(i, i + 1) for i in range(500, 560)]
+    want = classes_of({x for p in pairs for x in p}, pairs)
+    got = {r.u: r.v for r in chosen_path.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert got == {x: r for x, r in want.items() if r != x}

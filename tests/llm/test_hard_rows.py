@@ -61,7 +61,7 @@ OPERATORS = {
     "toxic_documents": (hard_docs, lambda d: toxicity.toxic_documents(d, STEMS)),
     "kept_copies": (hard_docs, lambda d: heavy_dedup.kept_copies(d, 2)),
     "packed_sequences": (hard_docs, packing.packed_sequences),
-    "similar_pairs": (hard_docs, chosen_path.similar_pairs),
+    "similar_classes": (hard_docs, chosen_path.similar_classes),
 }
 STAGES = {
     "without_toxic": lambda d: toxicity.without_toxic(d, STEMS),
@@ -160,11 +160,9 @@ def test_packed_sequences(results):
     assert sum(r[3] for r in results["packed_sequences"] if r[1] == 4) == 60_000
 
 
-def test_similar_pairs(results):
-    got = {(r[0], r[1]): r[2] for r in results["similar_pairs"]}
-    assert got[5, 6] == 1.0 and got[8, 9] == 1.0 and got[5, 7] == pytest.approx(17 / 18)
-    assert all(r[0] is not None and r[0] < r[1] for r in results["similar_pairs"])
-    assert all(not {1, 2, 3} & set(r[:2]) for r in results["similar_pairs"])
+def test_similar_classes(results):
+    got = sorted(results["similar_classes"])
+    assert got == [(5, 5, 3), (5, 5, 3), (6, 5, 3), (7, 5, 3), (8, 8, 1), (9, 8, 1)]
 
 
 def test_near_copies_keep_rows_without_id_or_words(spark):
