@@ -1,21 +1,28 @@
 """Running sums over large groups without one task for each group.
 
-Rows of a group are ordered by a hash; its leading bits name one of ``BUCKETS``
-buckets.  Totals of the buckets (a small table, whatever the number of rows) are
+Rows of a group are ordered by a hash; its leading hex digits name a bucket.  So many digits are taken
+that a bucket of the largest group holds about ``BUCKET_ROWS`` rows.  Totals of the buckets are
 summed up first, and the running sum within a bucket is added to them.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_HEX = 3  # 4096 buckets for each group
+BUCKET_ROWS = 50_000
+
+
+def digits_for(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
+    """Hex digits that split so many rows into buckets of about bucket_rows."""
+    return max(1, math.ceil(math.log(max(rows, 1) / bucket_rows, 16))) if rows > bucket_rows else 1
 
 
-def running_sum(rows: DataFrame, group: str, order: list[Column], hexed: str, amount: str, out: str, totals_of: DataFrame | None = None) -> DataFrame:
+def running_sum(rows: DataFrame, group: str, order: list[Column], hexed: str, amount: str, out: str, digits: int, totals_of: DataFrame | None = None) -> DataFrame:
     """rows with ``out``: the sum of ``amount`` over the rows of the same group that come before, in order of the hex string ``hexed``, then ``order``."""
-    bucket = F.substring(hexed, 1, BUCKET_HEX)
+    bucket = F.substring(hexed, 1, digits)
     totals = (rows if totals_of is None else totals_of).groupBy(F.col(group).alias("__g__"), bucket.alias("__b__")).agg(F.sum(amount).alias("__t__"))
     before = Window.partitionBy("__g__").orderBy("__b__").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("__o__", F.coalesce(F.sum("__t__").over(before), F.lit(0))).drop("__t__")
