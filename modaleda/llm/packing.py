@@ -13,7 +13,7 @@ driver sees the histogram only, never documents.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import frames as X
@@ -43,7 +43,10 @@ def knapsack(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
 
 
 def patterns(demand: np.ndarray, capacity: int) -> tuple[list[tuple[np.ndarray, int]], float]:
-    """(pattern, times) that hold the demand of sizes 1..len(demand) exactly or with room to spare; the LP's bound on the number of bins."""
+    """(pattern, times) that hold the demand of sizes 1..len(demand) exactly; the LP's bound on the number of bins.
+
+    Should the simplex method cycle, it stops after 200 steps a size at a solution that is feasible, and the bound is that solution's value.
+    """
     used = np.flatnonzero(demand > 0)
     if not len(used):
         return [], 0.0
@@ -82,9 +85,8 @@ def patterns(demand: np.ndarray, capacity: int) -> tuple[list[tuple[np.ndarray,
     found: list[tuple[np.ndarray, int]] = []
     for col, c, n in zip(columns, cost, np.floor(x + 1e-7).astype(np.int64)):
         if c and n > 0:
-            fits = np.minimum(col, left)
-            n = int(min([n, *(left[i] // col[i] for i in np.flatnonzero(col))])) if (col > left).any() or True else n
-            if n > 0 and fits.any():
+            n = min(int(n), *(int(left[i] // col[i]) for i in np.flatnonzero(col)))
+            if n > 0:
                 left -= n * col
                 found.append((col, n))
     bins: list[list] = []
@@ -108,10 +110,17 @@ def patterns(demand: np.ndarray, capacity: int) -> tuple[list[tuple[np.ndarray,
     return out_list, bound
 
 
-def packed_sequences(docs: DataFrame, capacity: int = 2048, steps: int = 64, seed: str = "pack") -> DataFrame:
+def classes_for(capacity: int, steps: int) -> tuple[int, int]:
+    """Tokens that one unit of length stands for, and how many units a sequence holds: ``steps`` at most."""
+    unit = -(-capacity // steps)
+    return unit, capacity // unit
+
+
+def packed_sequences(docs: DataFrame, capacity: int = 2048, steps: int = 64, seed: str = "pack", length: Column | None = None) -> DataFrame:
     """(sequence, doc_id, doc_start, n_tokens): which tokens of which document each training sequence holds.
 
-    docs needs doc_id and text; tokens are runs of non-white characters.  A document of
+    docs needs doc_id and text; tokens are runs of non-white characters, unless ``length`` counts them.  capacity
+    and steps are any numbers from 1 up.  A document of
     n tokens gives n // capacity whole sequences and, unless that comes out even, a
     remainder, which shares a sequence with others.  No sequence holds more than
     ``capacity`` tokens and every token is in just one place.  Sequences that hold
@@ -119,18 +128,22 @@ def packed_sequences(docs: DataFrame, capacity: int = 2048, steps: int = 64, see
     the order of the documents.  Documents are ranked by a seeded hash of their
     doc_id, then by doc_id and text (nulls first; equal rows are interchangeable).
     Null texts and texts without tokens take no place; rows that repeat are packed
-    each by itself; other columns are ignored; an empty table gives an empty result.
+    each by itself; texts of any length are packed whole; other columns are ignored; an empty table gives an empty result.
     """
-    unit = capacity // steps
+    if capacity < 1 or steps < 1:
+        raise ValueError("capacity and steps begin at 1")
+    unit, steps = classes_for(capacity, steps)
+    text = F.col("text").cast("string")
     docs_ = docs.select(
         F.col("doc_id"),
-        F.col("text").cast("string").alias("text"),
-        F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"\S+")), F.lit(0)).cast("long").alias("n"),
+        text.alias("text"),
+        F.coalesce(F.regexp_count(text, F.lit(r"\S+")) if length is None else length, F.lit(0)).cast("long").alias("n"),
         F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))).alias("h"),
     )
     rows = X.written(docs_.where("n > 0").select("doc_id", "n", "h", F.xxhash64("text").alias("t")), "lengths")
     rows = rows.withColumn("rest", F.col("n") % capacity).withColumn("whole", F.floor(F.col("n") / capacity).cast("long"))
-    rests = rows.where("rest > 0").withColumn("size", F.ceil(F.col("rest") / unit).cast("int")).withColumn("one", F.lit(1).cast("long"))
+    rests = rows.where("rest > 0").withColumn("size", F.least(F.ceil(F.col("rest") / unit), F.lit(steps)).cast("int")).withColumn("one", F.lit(1).cast("long"))
+    # a remainder of the last class has a sequence of its own, in which the odd tokens beyond the last unit fit as well
     demand = np.zeros(steps, dtype=np.int64)
     for r in rests.groupBy("size").count().collect():
         demand[r[0] - 1] = r[1]
@@ -144,13 +157,14 @@ def packed_sequences(docs: DataFrame, capacity: int = 2048, steps: int = 64, see
     spark = docs.sparkSession
     by_size = spark.createDataFrame(slots, "size int, lo long, hi long, each long, bin long").groupBy("size").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "each", "bin"))).alias("slots"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("t")]
-    ranked = ranks.running_sum(rests, "size", order, "h", "one", "rank")
+    ranked = ranks.running_sum(rests, "size", order, "h", "one", "rank", ranks.digits_for(int(demand.max())))
     slot = F.filter("slots", lambda s: (s["lo"] <= F.col("rank")) & (F.col("rank") < s["hi"]))[0]
     shared = ranked.join(by_size, "size").withColumn("s", slot).select(
         (F.col("s.bin") + F.floor((F.col("rank") - F.col("s.lo")) / F.col("s.each"))).cast("long").alias("sequence"),
         "doc_id", (F.col("n") - F.col("rest")).alias("doc_start"), F.col("rest").alias("n_tokens"),
     )
-    longs = ranks.running_sum(rows.where("whole > 0").withColumn("all", F.lit(0)), "all", order, "h", "whole", "before")
+    longs = rows.where("whole > 0")
+    longs = ranks.running_sum(longs.withColumn("all", F.lit(0)), "all", order, "h", "whole", "before", ranks.digits_for(longs.count()))
     whole = longs.select("doc_id", "before", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).alias("i")).select(
         (-(F.col("before") + F.col("i")) - 1).alias("sequence"), "doc_id", (F.col("i") * capacity).alias("doc_start"), F.lit(capacity).cast("long").alias("n_tokens")
     )
