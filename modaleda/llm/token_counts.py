@@ -5,22 +5,28 @@ node v has no edge for the next byte, the greedy pieces of v's string that can b
 settled are popped, and the walk goes on at the node for what is left.  A node keeps
 just the number of pieces popped, so a word is counted in one pass over its bytes
 without a piece being built.
+
+A piece that ends a word is another piece than the same letters within one.  The last byte of a word is therefore
+a symbol of its own (the byte plus ``LAST``): pieces within a word never take it, so that
+the longest piece that still leaves a spelling to the end of the word is taken.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-END = 256  # the symbol that ends a word
+LAST = 256  # added to the byte that ends a word
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -31,7 +37,7 @@ def _byte_of_char() -> dict[str, int]:
 
 
 def read_vocabulary(path: str = VOCABULARY) -> list[tuple[int, ...]]:
-    """Pieces as symbols: bytes, and END after those that end a word."""
+    """Pieces as symbols: bytes, the last of those that end a word raised by LAST."""
     table = _byte_of_char()
     with open(path, encoding="utf-8") as f:
         vocabulary = json.load(f)["model"]["vocab"]
@@ -39,10 +45,16 @@ def read_vocabulary(path: str = VOCABULARY) -> list[tuple[int, ...]]:
     for piece in vocabulary:
         body, ends = (piece[:-4], True) if piece.endswith("</w>") else (piece, False)
         if body and all(c in table for c in body):
-            out.append(tuple(table[c] for c in body) + (END,) * ends)
+            symbols = [table[c] for c in body]
+            symbols[-1] += LAST * ends
+            out.append(tuple(symbols))
     return out
 
 
+def symbols_of(word: bytes) -> tuple[int, ...]:
+    return (*word[:-1], word[-1] + LAST)
+
+
 class Automaton:
     """edges[v][symbol] is the child; on a miss at v, popped[v] pieces are settled and the walk goes on at fail[v] (-1: nowhere, the word can't be spelt)."""
 
@@ -79,10 +91,10 @@ class Automaton:
             level = below
 
     def count(self, word: bytes) -> int:
-        """Greedy longest pieces of word and its end; a word that can't be spelt is one unknown piece."""
+        """Greedy longest pieces of a word of one byte or more; one that can't be spelt is one unknown piece."""
         edges, fail, popped = self.edges, self.fail, self.popped
         v = n = 0
-        for s in (*word, END):
+        for s in symbols_of(word):
             while (nxt := edges[v].get(s)) is None:
                 n += popped[v]
                 v = fail[v]
@@ -115,9 +127,9 @@ def _counts(path: str) -> _Counts:
     return _Counts(Automaton(read_vocabulary(path)))
 
 
-def _emit(path: str):
+def _emit(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, find = _counts(path).__getitem__, WORD.findall
+        get, find = _counts(SparkFiles.get(name)).__getitem__, WORD.findall
         for b in batches:
             n_words, n_tokens = [], []
             for text in b.column(1):
@@ -135,11 +147,12 @@ def _emit(path: str):
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_words, n_tokens) of each row of docs.
 
-    docs needs doc_id and text; vocabulary is a file that every worker can read.  Words
+    docs needs doc_id and text; vocabulary is a file of the driver's, which is sent to the workers.  Words
     are those of ``WORD`` in the lower-cased text, each split into the longest pieces
     from its left; one that can't be spelt counts as one piece.  A null text has null
-    counts, an empty one 0; null ids and repeated rows are kept as they are; other
+    counts, an empty one 0; a text of any length counts whole; null ids and repeated rows are kept as they are; other
     columns are ignored; an empty table gives an empty result.
     """
+    docs.sparkSession.sparkContext.addFile(vocabulary)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_emit(vocabulary), f"doc_id {kind}, n_words long, n_tokens long")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_emit(os.path.basename(vocabulary)), f"doc_id {kind}, n_words long, n_tokens long")
