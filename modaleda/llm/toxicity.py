@@ -1,15 +1,15 @@
 """Toxic clauses by a weighted finite-state grammar.
 
-Words are mapped to classes (insult, threat, target, negation, report, intensifier,
-other, end of clause).  Four transducers read the classes of a clause: insult and threat
-give a match its weight, target raises it, negation and reported speech lower it.  They
-are composed into one machine, which is run over each clause with a match; the
-document's score is the sum over its clauses, so that a word has no fixed score of
-its own.
-
-The insult transducer's words are a built-in list and stems learnt from labelled
+Words are mapped to classes (insult, learnt epithet, threat, target, object, negation, report, intensifier,
+other, end of clause).  Transducers read the classes of a clause: insult and threat
+give a match its weight, target says how much of it counts, negation and reported speech lower it.  They
+are composed into one machine, which is run over each clause with a match.  An insult that is addressed to nobody
+in its clause is not enough on its own, nor is a threat without an object.  The clauses of a document, best first, count by a third
+less each, so a score is at most one and a half times that of the best clause, however long the text.
+
+The built-in insults are a list; epithets are stems learnt from labelled
 documents: word beginnings that stand in many different contexts of toxic documents and
-(almost) never in others.
+(almost) never in others.  As such a word marks toxic documents whatever stands around it, it counts by itself.
 """
 
 from __future__ import annotations
@@ -31,12 +31,15 @@ INSULTS = (
     "idiota imbécil estúpido estúpida basura escoria abruti abrutie crétin connard connasse ordure racaille dummkopf vollidiot arschloch abschaum drecksau"
 ).split()
 THREATS = "kill murder strangle stab destroy hurt beat töten umbringen verprügeln tuer frapper matar golpear".split()
-TARGETS = "you your you're u he she they them him her his their these those people everyone du dich dein ihr euch sie tu te toi vous ton ta usted ustedes tú te vosotros ellos".split()
-NEGATIONS = "not never no isn't aren't wasn't don't doesn't didn't cannot nicht kein keine keinen nie ne jamais aucun nunca jamás ningún".split()
+TARGETS = "you your you're u he she they these those people everyone her his their du dein ihr sie tu vous ton ta usted ustedes tú vosotros ellos".split()
+OBJECTS = "him them dich euch te toi ti".split()  # targets that can be no subject
+NEGATIONS = "not never no isn't aren't wasn't weren't don't doesn't didn't can't won't cannot nicht kein keine keinen nie ne n' jamais aucun nunca jamás ningún".split()
 REPORTS = "said says say told tells called calls quoted quotes reported reports wrote writes according alleged sagte sagt schrieb nannte dit disait écrit dijo dice escribió".split()
-INTENSE = "very so such really totally utterly complete absolute fucking damn sehr so total tellement vraiment très muy tan".split()
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, MORE, STOP = range(8)
-CLASSES = range(8)
+INTENSE = "very so such really totally utterly complete absolute fucking damn sehr total tellement vraiment très muy tan".split()
+ELIDED = frozenset(("l", "d", "j", "t", "c", "s", "n", "m", "qu"))  # before an apostrophe: a word of its own
+OTHER, INSULT, EPITHET, THREAT, TARGET, OBJECT, NEGATION, REPORT, MORE, STOP = range(10)
+CLASSES = range(10)
+BARE, BARE_EPITHET, NAMED = 0.4, 0.7, 1.5  # what a match counts without, and with, a target in its clause
 Stems = tuple[tuple[str, float], ...]  # learnt stem, weight
 WORD_OR_STOP = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;:\n|\"“”»«]")
 
@@ -73,50 +76,53 @@ def composed(match: Transducer, *scales: Transducer) -> Transducer:
     return Transducer(step, start, 0.0)
 
 
-def grammar() -> Transducer:
-    """The composed grammar.
+def parts() -> tuple[Transducer, ...]:
+    """The transducers of the grammar: the match, and what scales it.
 
-    match: an insult weighs 1; a threat weighs 1.5, if its target has been named or is named within the
-    next two words.  target: a target earlier in the clause raises what follows by half.  negation:
-    one at most two words before lowers to a fifth.  report: a reporting word earlier in the
-    clause lowers to two fifths.  intensity: a word just before raises by a quarter.
+    match: an insult or epithet weighs 1; a threat weighs 1.5, if its object has been named or a target is named within the
+    next two words.  A target within the two words after an insult makes up for what it lacked before.
+    target: one earlier in the clause raises an insult by half, without one an insult counts BARE, an epithet BARE_EPITHET.  negation:
+    one at most two words before (intensifiers not counted) lowers to a fifth.  report: a reporting word earlier in the
+    clause lowers to a quarter.  intensity: a word just before raises by a quarter.
     """
     match: dict = {}
-    for named in (0, 1):
+    for named in (0, 1, 2):  # 1: a target, 2: an object
         for wait in (0, 1, 2):
-            s = (named, wait)
-            for c in CLASSES:
-                out, n, w = 0.0, named, max(0, wait - 1)
-                if c == INSULT:
-                    out = 1.0
-                elif c == THREAT:
-                    if named:
-                        out = 1.5
-                    else:
-                        w = 2
-                elif c == TARGET:
-                    n = 1
-                    if wait:
-                        out, w = 1.5, 0
-                elif c == STOP:
-                    n = w = 0
-                match[s, c] = ((n, w), out)
-    target = {(0, TARGET): (1, 1.0), (1, INSULT): (1, 1.5), (1, STOP): (0, 1.0)}
+            for lacks in (0, 1, 2):
+                s = (named, wait, lacks)
+                for c in CLASSES:
+                    out, n, w, k = 0.0, named, max(0, wait - 1), max(0, lacks - 1)
+                    if c in (INSULT, EPITHET):
+                        out, k = 1.0, 0 if named else 2
+                    elif c == THREAT:
+                        out, w = (1.5, 0) if named == 2 else (0.0, 2)
+                    elif c in (TARGET, OBJECT):
+                        out = 1.5 if wait else 1.0 - BARE if lacks else 0.0
+                        n, w, k = max(named, 2 if c == OBJECT else 1), 0, 0
+                    elif c == STOP:
+                        n = w = k = 0
+                    match[s, c] = ((n, w, k), out)
+    target = {(0, TARGET): (1, 1.0), (0, OBJECT): (1, 1.0), (0, INSULT): (0, BARE), (0, EPITHET): (0, BARE_EPITHET), (1, INSULT): (1, NAMED), (1, EPITHET): (1, NAMED), (1, STOP): (0, 1.0)}
+    matched = (INSULT, EPITHET, THREAT, TARGET, OBJECT)
     negation: dict = {}
     for left in (0, 1, 2):
         for c in CLASSES:
             after = 0 if c == STOP else 2 if c == NEGATION else left if c == MORE else max(0, left - 1)
-            negation[left, c] = (after, 0.2 if left and c in (INSULT, THREAT, TARGET) else 1.0)
-    report = {(0, REPORT): (1, 1.0), (1, INSULT): (1, 0.4), (1, THREAT): (1, 0.4), (1, TARGET): (1, 0.4), (1, STOP): (0, 1.0)}
-    intensity = {(a, c): (int(c == MORE), 1.25 if a and c == INSULT else 1.0) for a in (0, 1) for c in CLASSES}
-    return composed(Transducer(match, (0, 0), 0.0), Transducer(target, 0, 1.0), Transducer(negation, 0, 1.0), Transducer(report, 0, 1.0), Transducer(intensity, 0, 1.0))
+            negation[left, c] = (after, 0.2 if left and c in matched else 1.0)
+    report = {(0, REPORT): (1, 1.0), (1, STOP): (0, 1.0)} | {(1, c): (1, 0.25) for c in matched}
+    intensity = {(a, c): (int(c == MORE), 1.25 if a and c in (INSULT, EPITHET) else 1.0) for a in (0, 1) for c in CLASSES}
+    return Transducer(match, (0, 0, 0), 0.0), Transducer(target, 0, 1.0), Transducer(negation, 0, 1.0), Transducer(report, 0, 1.0), Transducer(intensity, 0, 1.0)
+
+
+def grammar() -> Transducer:
+    return composed(*parts())
 
 
 def base_classes() -> dict[str, int]:
     out: dict[str, int] = {}
-    for cls, words in ((MORE, INTENSE), (REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS), (INSULT, INSULTS)):
+    for cls, words in ((MORE, INTENSE), (REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (OBJECT, OBJECTS), (THREAT, THREATS), (INSULT, INSULTS)):
         out.update(dict.fromkeys(words, cls))
-    return out
+    return out | {"t'": OBJECT}
 
 
 class Scorer:
@@ -129,23 +135,41 @@ class Scorer:
     def class_of(self, word: str) -> tuple[int, float]:
         """Class of a word, and the weight of the word in it."""
         cls = self.classes.get(word)
-        if cls is None and self.stems is not None and (m := self.stems.match(word)):
-            return INSULT, self.weights[m.group()]
+        if cls in (None, INSULT) and self.stems is not None and (m := self.stems.match(word)):
+            weight = self.weights[m.group()]
+            if cls is None or weight * BARE_EPITHET > BARE:
+                return EPITHET, weight
         return OTHER if cls is None else cls, 1.0
 
+    def classes_of(self, text: str) -> Iterator[tuple[int, float]]:
+        for w in WORD_OR_STOP.findall(text.lower().replace("’", "'")):
+            if not w[0].isalpha():
+                yield STOP, 1.0
+                continue
+            if "'" in w and w not in self.classes:
+                head, tail = w.split("'", 1)
+                if head in ELIDED:
+                    if (elided := self.classes.get(head + "'")) is not None:
+                        yield elided, 1.0
+                    w = tail
+                else:
+                    w = head
+            yield self.class_of(w)
+
     def score(self, text: str) -> tuple[float, int]:
-        """Sum of the weights of all matched clauses, and how many they are."""
-        state, total, matched, here = self.machine.start, 0.0, 0, False
-        step, classes = self.machine.step, self.class_of
-        for w in WORD_OR_STOP.findall(text.lower()):
-            cls, weight = classes(w) if w[0].isalpha() else (STOP, 1.0)
+        """Score of a document, and how many of its clauses match."""
+        state, clause, clauses = self.machine.start, 0.0, []
+        step = self.machine.step
+        for cls, weight in self.classes_of(text):
             state, out = step[state, cls]
-            total += out * weight
-            here |= out > 0
+            clause += out * weight
             if cls == STOP:
-                matched += here
-                here = False
-        return round(total, 6), matched + here
+                if clause:
+                    clauses.append(clause)
+                clause = 0.0
+        if clause:
+            clauses.append(clause)
+        return round(sum(c / 3**i for i, c in enumerate(sorted(clauses, reverse=True)[:32])), 6), len(clauses)
 
 
 @lru_cache(maxsize=4)
@@ -177,8 +201,9 @@ def learnt_stems(docs: DataFrame, labels: DataFrame, sample: int = 20_000, conte
     A stem stands between at least ``contexts`` different pairs of neighbouring words in toxic documents
     and is ``odds`` times as frequent there.  Contexts, not occurrences, are counted in toxic documents, so copies
     of one document count once.  Of stems that begin each other the shortest one is taken, lengthened as
-    far as all its words go on alike.  Its weight is its odds on a logarithmic scale, 1 from 10,000 up, so that
-    one match of a doubtful stem is not enough.
+    far as all its words go on alike.  Its weight is its odds on a logarithmic scale, 1 from 1,000 up, so that
+    one match of a doubtful stem is not enough.  Rows with a null doc_id, label or text teach nothing, a doc_id labelled twice is
+    toxic if one of its labels says so, and texts are read whole; without toxic and clean words, as in an empty table, no stem is learnt.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "__id__")
@@ -210,7 +235,7 @@ def learnt_stems(docs: DataFrame, labels: DataFrame, sample: int = 20_000, conte
         while longer := [x for x in found if len(x) == len(s) + 1 and x.startswith(s) and found[x] == found[s]]:
             s = longer[0]
         out[i] = s
-    weight = {s: min(1.0, math.log10(found[s][0] / n[0] * n[1] / (found[s][1] + 0.5)) / 4) for s in out}
+    weight = {s: min(1.0, math.log10(found[s][0] / n[0] * n[1] / (found[s][1] + 0.5)) / 3) for s in out}
     return tuple(sorted((s, round(w, 4)) for s, w in weight.items()))
 
 
@@ -227,8 +252,8 @@ def _emit(stems: Stems):
 def toxic_documents(docs: DataFrame, stems: Stems = (), threshold: float = 0.6) -> DataFrame:
     """(doc_id, score, n_clauses, is_toxic): the documents whose score reaches the threshold; is_toxic is true in all of them.
 
-    docs needs doc_id and text.  Null and empty texts score 0; null ids and repeated rows are
-    kept as they are; other columns are ignored; an empty table gives an empty result.
+    docs needs doc_id and text.  Null and empty texts score 0; texts of any length are read whole; null ids and repeated rows are
+    kept as they are, each scored by itself; other columns are ignored; an empty table gives an empty result.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").rlike(trigger(stems)))
@@ -246,5 +271,8 @@ def _score_udf(stems: Stems) -> Column:
 
 
 def without_toxic(docs: DataFrame, stems: Stems = (), threshold: float = 0.6) -> DataFrame:
-    """docs without the documents whose score reaches the threshold, with the columns of docs; null texts stay."""
+    """docs without the documents whose score reaches the threshold, with the columns of docs.
+
+    Null and empty texts stay, as do rows without doc_id whose text passes; repeated rows are judged each by itself; an empty table gives an empty one.
+    """
     return X.unpacked(X.packed(docs, __score__=_score_udf(stems)).where(F.coalesce("__score__", F.lit(0.0)) < threshold))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import random
 import re
 from collections import Counter, defaultdict
@@ -134,13 +135,37 @@ def test_every_shard_has_the_quota_of_blocks(spark):
     docs = table(spark, [(i, " ".join(random_text(rng, rng.randrange(1, 40)))) for i in range(600)], source=True)
     rows = mixing.assignments(docs, {"web": 3, "books": 1, "code": 1}, block_tokens=50, blocks_per_shard=10).collect()
     quota = mixing.sainte_lague({"web": 3, "books": 1, "code": 1}, 10)
-    shards = {r.shard for r in rows}
+    plan = {s: b // q for s, b, q, _, _ in mixing._plan({s: sum(r.n_tokens for r in mixing.assignments(docs, block_tokens=1).collect() if r.source == s) for s in quota}, {"web": 3, "books": 1, "code": 1}, 0.7, 50, 10, 0.9, "mix")}
+    shards = {r.shard for r in rows if r.shard < min(plan.values())}
     assert len(shards) > 2
     blocks = defaultdict(set)
     for r in rows:
         blocks[r.shard, r.source].add(r.block)
     assert all(len(blocks[h, s]) == q for h in shards for s, q in quota.items())
     assert len({(r.source, r.block) for r in rows}) == sum(map(len, blocks.values()))  # no block is in two shards
+    assert all(len(b) <= quota[s] for (_, s), b in blocks.items())
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 7, 42, 1000, 4_194_305, 5_000_000_000, (1 << 40) - 1])
+def test_blocks_are_permuted(spark, blocks):
+    stride, shift = mixing.stride_of("web", blocks, "mix"), 12345 % blocks
+    asked = sorted(b for b in {0, 1, blocks // 2, blocks - 1, *range(min(blocks, 1000))} if b < blocks)
+    F = mixing.F
+    slot = mixing.slot_of(F.col("b"), F.lit(blocks), F.lit(stride), F.lit(shift))
+    got = [r[0] for r in spark.createDataFrame([(b,) for b in asked], "b long").select(slot).collect()]
+    assert got == [(b * stride + shift) % blocks for b in asked] and len(set(got)) == len(asked) and all(0 <= g < blocks for g in got)
+    assert blocks < 8 or stride > 1
+
+
+def test_a_tiny_source_does_not_hold_up_the_rest():
+    totals = {"hot": 10_000_000, "tiny": 2_500, **{f"s{i}": 200_000 for i in range(20)}}
+    plan = mixing._plan(totals, None, 0.7, 1024, 512, 0.9, "mix")
+    kept = sum(min(b, q * n) for _, b, q, n, _ in plan)
+    fills = [(b // q, q) for _, b, q, _, _ in plan]
+    n = plan[0][3]
+    assert sum(q for f, q in fills if f >= n) >= 0.9 * 512 > sum(q for f, q in fills if f > n)
+    assert kept > 6000
+    assert mixing._plan({}, None, 0.7, 1024, 512, 0.9, "mix") == []
 
 
 # 3 repeated spans
@@ -229,10 +254,13 @@ def test_nearest(spark, n, tile):
 # 6 token counts
 
 
-def longest_pieces(word: tuple, pieces: set) -> int:
+def greedy(word: str, inner: set[str], last: set[str]) -> int:
+    """The longest piece from the left, again and again: one of ``last`` if it reaches the end, else one of ``inner``; 1 if that fails."""
     n = at = 0
     while at < len(word):
-        step = next((k for k in range(len(word) - at, 0, -1) if word[at : at + k] in pieces), 0)
+        if word[at:] in last:
+            return n + 1
+        step = next((k for k in range(len(word) - at - 1, 0, -1) if word[at : at + k] in inner), 0)
         if not step:
             return 1
         at, n = at + step, n + 1
@@ -242,21 +270,31 @@ def longest_pieces(word: tuple, pieces: set) -> int:
 def test_automaton_counts_the_longest_pieces():
     rng = random.Random(6)
     for _ in range(40):
-        pieces = {tuple(rng.choices(b"abc", k=rng.randrange(1, 6))) + ((token_counts.END,) * (rng.random() < 0.4)) for _ in range(25)}
+        inner, last = ({"".join(rng.choices("abc", k=rng.randrange(1, 6))) for _ in range(m)} for m in (15, 10))
         if rng.random() < 0.7:
-            pieces |= {(b,) for b in b"abc"} | {(b, token_counts.END) for b in b"abc"}
-        a = token_counts.Automaton(sorted(pieces))
+            inner, last = inner | set("abc"), last | set("abc")
+        a = token_counts.Automaton(sorted([tuple(p.encode()) for p in inner] + [token_counts.symbols_of(p.encode()) for p in last]))
         for _ in range(200):
-            word = bytes(rng.choices(b"abc", k=rng.randrange(1, 14)))
-            assert a.count(word) == longest_pieces((*word, token_counts.END), pieces), (word, pieces)
+            word = "".join(rng.choices("abc", k=rng.randrange(1, 14)))
+            assert a.count(word.encode()) == greedy(word, inner, last), (word, inner, last)
 
 
 def test_token_counts_with_the_public_vocabulary(spark):
-    texts = [(0, "Hello, world! It's 2024."), (1, "naïve café 漢字 antidisestablishmentarianism"), (2, "a" * 300 + " __ ok")]
+    texts = [(0, "Hello, world! It's 2024."), (1, "naïve café 漢字 antidisestablishmentarianism"), (2, "a" * 300 + " __ ok"), (3, "outre rele"), (4, None)]
+    with open(token_counts.VOCABULARY, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    last, inner = {p[:-4] for p in vocabulary if p.endswith("</w>")}, {p for p in vocabulary if not p.endswith("</w>")}
+    char = {b: c for c, b in token_counts._byte_of_char().items()}
+    got = {r.doc_id: (r.n_words, r.n_tokens) for r in token_counts.token_counts(table(spark, texts)).collect()}
+    for i, text in texts[:-1]:
+        words = ["".join(char[b] for b in w.encode()) for w in token_counts.WORD.findall(text.lower())]
+        assert got[i] == (len(words), sum(greedy(w, inner, last) for w in words))
+    assert got[3] == (2, 4) and got[4] == (None, None)
+
+
+def test_no_word_is_unknown_to_the_public_vocabulary():
     pieces = set(token_counts.read_vocabulary())
-    for r in token_counts.token_counts(table(spark, texts)).collect():
-        words = token_counts.WORD.findall(texts[r.doc_id][1].lower())
-        assert (r.n_words, r.n_tokens) == (len(words), sum(longest_pieces((*w.encode(), token_counts.END), pieces) for w in words))
+    assert all((b,) in pieces and (b + token_counts.LAST,) in pieces for b in range(256) if bytes([b]).isascii() or b >= 0x80)
 
 
 # 7 toxicity
@@ -266,28 +304,47 @@ def test_clauses_not_words_are_scored():
     s = toxicity.Scorer(())
     direct, bare = s.score("You are an idiot.")[0], s.score("The idiot.")[0]
     assert direct > bare > s.score("You are not an idiot.")[0]
-    assert direct > s.score('She said you are an idiot.')[0]
-    assert s.score("I will kill you.")[0] >= 1.5 and s.score("They kill time.")[0] < 1.6 and s.score("kill the process")[0] == 0
+    assert direct > s.score("She said you are an idiot.")[0]
+    assert s.score("I will kill you.")[0] >= 1.5 and s.score("kill the process")[0] == 0
     assert s.score("A fine day for everyone.") == (0.0, 0)
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["The clown juggled.", "Take out the trash.", "The sensor readings were worthless.", "They kill time.", "He isn't an idiot.", "He isn’t an idiot.", "She said you are an idiot. " * 20, "You are not an idiot. " * 20, "They beat the deadline."],
+)
+def test_what_is_left_alone(text):
+    assert toxicity.Scorer(()).score(text)[0] < 0.6
+
+
+@pytest.mark.parametrize("text", ["You are an idiot.", "You're such a loser!", "I will kill you.", "Ich werde dich töten.", "Je vais t'abattre, tu es l'ordure.", "Tu es l’idiote, une connasse.", "Idiot, you!", "Those people are vermin."])
+def test_what_is_toxic(text):
+    assert toxicity.Scorer(()).score(text)[0] >= 0.6
+
+
+def test_a_score_does_not_grow_with_the_text():
+    s = toxicity.Scorer((("grumble", 0.5),))
+    assert s.score("A grumble here. " * 1000)[0] <= 1.5 * s.score("A grumble here. ")[0] + 1e-6
+
+
 def test_composed_machine_multiplies_its_parts():
     rng = random.Random(7)
-    whole = toxicity.grammar()
-    for _ in range(50):
-        state, seen = whole.start, 0.0
+    whole, parts = toxicity.grammar(), toxicity.parts()
+    for _ in range(200):
+        state, states = whole.start, [p.start for p in parts]
         for _ in range(30):
-            state, out = whole.step[state, rng.choice(list(toxicity.CLASSES))]
-            seen += out
-            assert out >= 0
-        assert seen < 200
+            c = rng.choice(list(toxicity.CLASSES))
+            state, out = whole.step[state, c]
+            moved = [p.move(s, c) for p, s in zip(parts, states)]
+            states = [s for s, _ in moved]
+            assert out == pytest.approx(np.prod([x for _, x in moved])) and state == tuple(states)
 
 
 def test_trigger_passes_all_that_scores():
     stems = (("grumble", 0.5), ("snark", 0.9))
     s, trigger = toxicity.Scorer(stems), toxicity.trigger(stems)
     pattern = re.compile(re.sub(r"^\(\?iu\)", "", trigger).replace(r"[\p{L}]", r"[^\W\d_]").replace(r"\p{L}", r"[^\W\d_]"), re.I)
-    for t in ["you grumblefax", "GRUMBLE.", "snarky you", "you idiot", "a moron!", "kill you", "skill you"]:
+    for t in ["you grumblefax", "GRUMBLE.", "snarky you", "you idiot", "a moron!", "kill you", "skill you", "Tu es l’idiot", "d'abschaum du"]:
         if s.score(t)[0] > 0:
             assert pattern.search(t), t
 
@@ -371,6 +428,20 @@ def test_every_token_is_packed_once(spark):
     assert len(full) <= 1.05 * sum(full.values()) / 128 + 32
 
 
+@pytest.mark.parametrize(("capacity", "steps"), [(2050, 64), (32, 64), (100, 7), (1, 1), (5, 3)])
+def test_any_capacity(spark, capacity, steps):
+    rng = random.Random(capacity)
+    rows = [(i, " ".join(["w"] * rng.randrange(0, 3 * capacity + 2))) for i in range(100)]
+    full, at = Counter(), defaultdict(list)
+    for r in packing.packed_sequences(table(spark, rows), capacity, steps).collect():
+        full[r.sequence] += r.n_tokens
+        at[r.doc_id].append((r.doc_start, r.doc_start + r.n_tokens))
+    assert max(full.values()) <= capacity
+    for i, text in rows:
+        pieces = sorted(at[i])
+        assert [a for a, _ in pieces] == [0, *(b for _, b in pieces)][: len(pieces)] and (pieces[-1][1] if pieces else 0) == len(text.split())
+
+
 # 10 n-gram Jaccard join
 
 

@@ -102,10 +102,11 @@ def test_sources_are_mixed(stages):
     total = defaultdict(int)
     for r in stages[3]:
         total[r.source] += len(r.text.split())
-    plan = mixing._plan(total, None, 0.7, 1024, 512)
-    if all(blocks <= quota * shards for _, blocks, quota, shards in plan) and len(plan) == len(total):
-        assert set(stages[4]) == set(stages[3])
-    assert {r.source for r in stages[4]} == {s for s, *_ in plan}
+    plan = {s: (blocks, quota, shards) for s, blocks, quota, shards, _ in mixing._plan(total, None, 0.7, 1024, 64, 0.9, "mix")}
+    assert {r.source for r in stages[4]} == set(plan)
+    for s, (blocks, quota, shards) in plan.items():
+        if blocks <= quota * shards:
+            assert {r for r in stages[4] if r.source == s} == {r for r in stages[3] if r.source == s}
 
 
 def test_tokens_are_packed_once(stages):
