@@ -6,6 +6,7 @@ import itertools
 import json
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -198,12 +199,16 @@ def test_repeated_spans(spark, seed):
 # 4 HTML
 
 
-def test_content_of_pages_not_trained_on():
-    model = html_content.train(html_content.invented_pages(120, seed=7))
+@pytest.fixture(scope="module")
+def model():
+    return html_content.train(html_content.invented_pages(120, seed=7))
+
+
+def test_content_of_pages_not_trained_on(model):
     right = letters = 0
     for page in html_content.invented_pages(60, seed=99):
         nodes = html_content.parse(page)
-        x, own = html_content.features(nodes)
+        x, own = model.features(nodes)
         kept = html_content.decode(nodes, model.predict(x), own)
         y = html_content.marked(nodes) > 0
         right += own[kept == y].sum()
@@ -211,11 +216,87 @@ def test_content_of_pages_not_trained_on():
     assert right / letters > 0.95
 
 
+def blog_page(rng: random.Random) -> str:
+    """A page by another hand than the invented ones: tags left out, other names; words of the content begin with q, others with z."""
+
+    def words(c: str, n: int) -> str:
+        return " ".join(c + rng.choice(["ato", "ibe", "urn", "elo", "ama"]) + str(rng.randrange(100)) for _ in range(n)) + "."
+
+    menu = "".join(f"<li><a href=/{i}>{words('z', 2)}</a>" for i in range(rng.randrange(3, 9)))
+    body = "".join(f"<p>{words('q', rng.randrange(15, 60))} {words('q', rng.randrange(8, 30))}" for _ in range(rng.randrange(2, 9)))
+    aside = f"<div class=recent-posts><h3>{words('z', 2)}</h3><ul>{menu}</ul></div>" if rng.random() < 0.7 else ""
+    holder = rng.choice(["<div class=blog__txt>{}</div>", "<table><tr><td>{}<tr><td></table>", "<section><div><div>{}</div></div></section>", "<center>{}</center>"])
+    return f"<!doctype html><title>x</title><link rel=a><ul id=topnav>{menu}</ul>{holder.format(f'<h1>{words(chr(113), 5)}</h1>' + body)}{aside}<div id=copyright><small>{words('z', 6)}</small></div>"
+
+
+def test_content_of_pages_by_another_hand(model):
+    rng = random.Random(31)
+    found = wanted = wrong = 0
+    for _ in range(40):
+        page = blog_page(rng)
+        nodes = html_content.parse(page)
+        x, own = model.features(nodes)
+        got = Counter(re.findall(r"\b[qz]\w+", html_content.kept_text(nodes, html_content.decode(nodes, model.predict(x), own))))
+        want = Counter(re.findall(r"\bq\w+", page))
+        wanted += sum(want.values())
+        found += sum((got & want).values())
+        wrong += sum(n for w, n in got.items() if w[0] == "z")
+    assert found >= 0.9 * wanted and wrong <= 0.1 * wanted
+
+
+def test_what_marks_the_content_is_hidden(model):
+    page = "<body><{0}><p>Some words here, and some more.</p></{0}><nav><a>x</a></nav>"
+    plain, marked = (model.features(html_content.parse(page.format(t)))[0] for t in ("div", "main"))
+    assert (plain == marked).all()
+    assert html_content.tokens_of(html_content.Node("div", ' role="main" itemprop="articleBody" class="Post-body x1"', 0, 1, [])) == ["post", "body", "x"]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>t</title><body><p>text", [("#root", []), ("p", ["text"])]),
+        ("a < b <p>c > d", [("#root", ["a < b "]), ("p", ["c > d"])]),
+        ("<svg/><p>x</p><iframe src=1><p>y", [("p", ["x"]), ("p", ["y"])]),
+        ("<p>a<!-- never closed <p>b", [("p", ["a", " never closed "]), ("p", ["b"])]),
+        ('<p class="x>y">q</p><p class="z>r', [("p", ["q"]), ("p", ["r"])]),
+        ("<script>var a='<p>no</p>'</script><ul><li>1<li>2</ul>3", [("#root", ["3"]), ("li", ["1"]), ("li", ["2"])]),
+    ],
+)
+def test_broken_markup(page, want):
+    got = [(x.tag, [t for _, t in x.text]) for x in html_content.parse(page)]
+    assert [w for w in want if w in got] == want
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a href="x ', '<a href="x >', "<!--", "<script>", "<", "<b>", "<p><b>", "</b>", "<div>", "<li>x"])
+def test_long_broken_pages_take_linear_time(piece):
+    began = time.perf_counter()
+    html_content.parse(piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - began < 15
+
+
+def test_the_first_split_is_the_best_one():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 6, (200, 3)).astype(float)
+    y = ((x[:, 1] > 2) ^ (rng.random(200) < 0.1)).astype(float)
+    b = html_content.Boosted(trees=1, depth=1, rate=1.0, least=5).fit(x, y, np.ones(200))
+    p = y.mean()
+    g, h = y - p, np.full(200, p * (1 - p))
+
+    def gain(left):
+        return sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in (left, ~left)) - g.sum() ** 2 / (h.sum() + 1)
+
+    best = max((gain(x[:, j] < c), j, c) for j in range(3) for c in range(1, 6) if 5 <= (x[:, j] < c).sum() <= 195)
+    feature, cut, value = b.nodes[0]
+    assert feature[0] == best[1] and b.edges[best[1]][cut[0]] == best[2]
+    left = x[:, best[1]] < best[2]
+    assert value[1] == pytest.approx(g[left].sum() / (h[left].sum() + 1)) and b.predict(x)[left][0] == pytest.approx(1 / (1 + np.exp(-(b.base + value[1]))))
+
+
 def test_decoding_is_the_likeliest_labelling():
     rng = np.random.default_rng(3)
     for _ in range(30):
         n = int(rng.integers(1, 8))
-        nodes = [html_content.Node("#root", "", -1, 0, text=[])] + [html_content.Node("div", "", int(rng.integers(0, i)), 1, text=[]) for i in range(1, n)]
+        nodes = [html_content.Node("#root", "", -1, 0, [])] + [html_content.Node("div", "", int(rng.integers(0, i)), 1, []) for i in range(1, n)]
         p, letters = rng.random(n), rng.integers(0, 50, n).astype(float)
 
         def value(labels, p=p, letters=letters, nodes=nodes, n=n):
