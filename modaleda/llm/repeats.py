@@ -14,7 +14,9 @@ most of them before they are even unpacked.  What is left is compacted:
    of pieces with the same set of occurrences become whole nonbranching paths;
 3. source coordinates turn the paths of each document into maximal spans.
 
-Nothing is sampled and no count is bounded; equal edges agree in 96 bits of hash.
+Nothing is sampled and no count is bounded; equal edges agree in 96 bits of hash.  A minimizer with more than
+``hot`` rows (a line that many documents share) is not brought together in one task: its edges are
+counted where they are, the counts are added up, and joined back to the edges in ``SALTS`` parts.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from . import frames as X
 from . import words as W
 
+HOT_KEYS = 100_000  # at most so many minimizers are broadcast as hot, the most frequent ones; each of the rest has no more than that share of all rows
+SALTS = 64
 _POS_BITS = 30
 _POS = np.uint64((1 << _POS_BITS) - 1)
 
@@ -65,35 +69,44 @@ def superkmers(text: pa.Array, length: int, k: int) -> tuple[np.ndarray, np.ndar
 def _emit(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, text = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            ids, text = batch.column(0), batch.column(1)
             for lo, hi in W.chunks(text):
                 row, pos, least, first, edge = superkmers(text.slice(lo, hi - lo), length, k)
                 if len(row):
                     lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(edge))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(least), pa.array(ids[lo:hi][row].astype(np.int64)), pa.array(pos.astype(np.int32)), lists], ["least", "doc", "pos", "edges"]
+                        [pa.array(least), ids.slice(lo, hi - lo).take(pa.array(row)), pa.array(pos.astype(np.int32)), lists], ["least", "doc", "pos", "edges"]
                     )
 
     return run
 
 
-def pieces(docs: DataFrame, length: int = 50, k: int = 25) -> DataFrame:
+def _shared(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """(least, doc, pos, at, places, docs, a, b): the edges that two documents have or more."""
+    cold = rows if hot is None else rows.join(F.broadcast(hot), "least", "left_anti")
+    same, edge = Window.partitionBy("least"), Window.partitionBy("least", "edge")
+    held = cold.repartition("least").withColumn("a", F.min("doc").over(same)).withColumn("b", F.max("doc").over(same)).where("a < b")
+    unpacked = held.select("least", "doc", "pos", F.posexplode("edges").alias("i", "edge"))
+    stats = [F.count(F.lit(1)).alias("places"), F.bit_xor(F.xxhash64("doc")).alias("docs"), F.min("doc").alias("a"), F.max("doc").alias("b")]
+    at = (F.col("pos") + F.col("i")).alias("at")
+    over = [F.count(F.lit(1)).over(edge).alias("places"), F.bit_xor(F.xxhash64("doc")).over(edge).alias("docs"), F.min("doc").over(edge).alias("a"), F.max("doc").over(edge).alias("b")]
+    shared = unpacked.select("least", "doc", "pos", at, *over).where("a < b")
+    if hot is None:
+        return shared
+    often = rows.join(F.broadcast(hot), "least", "left_semi").select("least", "doc", "pos", F.posexplode("edges").alias("i", "edge"))
+    counts = often.groupBy("least", "edge").agg(*stats).where("a < b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    often = often.withColumn("salt", F.pmod(F.xxhash64("doc", "pos"), F.lit(SALTS)).cast("int")).join(counts, ["least", "edge", "salt"])
+    return shared.unionByName(often.select("least", "doc", "pos", at, "places", "docs", "a", "b"))
+
+
+def pieces(docs: DataFrame, length: int = 50, k: int = 25, hot: int = 50_000) -> DataFrame:
     """(doc, start, stop, places, path): runs of consecutive repeated edges of one minimizer and one set of occurrences."""
-    rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-        .where("doc is not null and text is not null")
-        .mapInArrow(_emit(length, k), "least long, doc long, pos int, edges array<int>")
-        .repartition("least")
-    )
-    same = Window.partitionBy("least")
-    held = rows.withColumn("a", F.min("doc").over(same)).withColumn("b", F.max("doc").over(same)).where("a < b")
-    edges = held.select("least", "doc", "pos", F.posexplode("edges").alias("i", "edge"))
-    edge = Window.partitionBy("least", "edge")
-    shared = edges.select(
-        "least", "doc", "pos", (F.col("pos") + F.col("i")).alias("at"),
-        F.count(F.lit(1)).over(edge).alias("places"), F.bit_xor(F.xxhash64("doc")).over(edge).alias("docs"),
-        F.min("doc").over(edge).alias("a"), F.max("doc").over(edge).alias("b"),
-    ).where("a < b")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select(F.col("doc_id").alias("doc"), F.col("text").cast("string").alias("text")).where("doc is not null and text is not null")
+    rows = texts.mapInArrow(_emit(length, k), f"least long, doc {kind}, pos int, edges array<int>")
+    often = rows.groupBy("least").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot)
+    often = X.written(often.orderBy(F.desc("n"), "least").limit(HOT_KEYS).select("least"), "hot")
+    shared = _shared(rows, None if often.isEmpty() else often)
     runs = shared.groupBy("least", "doc", "pos", "places", "docs", "a", "b").agg(F.collect_set("at").alias("at"))
     ends = F.arrays_zip(
         F.array_sort(F.filter("at", lambda p: ~F.array_contains("at", p - 1))).alias("start"),
@@ -104,9 +117,9 @@ def pieces(docs: DataFrame, length: int = 50, k: int = 25) -> DataFrame:
     )
 
 
-def paths(docs: DataFrame, length: int = 50, k: int = 25) -> DataFrame:
+def paths(docs: DataFrame, length: int = 50, k: int = 25, hot: int = 50_000) -> DataFrame:
     """(doc, start, stop, places): whole nonbranching paths, each piece joined to the one that it continues."""
-    p = X.written(pieces(docs, length, k), "pieces")  # both sides of the join read them
+    p = X.written(pieces(docs, length, k, hot), "pieces")  # both sides of the join read them
     before = p.select("doc", (F.col("stop") + 1).alias("start"), "path", F.lit(True).alias("goes_on"))
     linked = p.join(before, ["doc", "start", "path"], "left")
     along = Window.partitionBy("doc").orderBy("start", "stop")
@@ -118,7 +131,7 @@ def paths(docs: DataFrame, length: int = 50, k: int = 25) -> DataFrame:
     )
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, k: int = 25) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 50, k: int = 25, hot: int = 50_000) -> DataFrame:
     """Maximal spans of words covered by runs of ``length`` words that stand in two documents or more.
 
     docs needs doc_id and text.  Returns (doc_id, start_word, end_word, n_places):
@@ -126,11 +139,11 @@ def repeated_spans(docs: DataFrame, length: int = 50, k: int = 25) -> DataFrame:
     places in which any of its runs stands.  Rows without doc_id or text are left
     out, texts shorter than ``length`` have no spans, rows that share a doc_id count
     as one document (a run that repeats only inside one is no repeat), other columns
-    are ignored, an empty table gives an empty result.
+    are ignored, an empty table gives an empty result.  doc_id may be of any type that can be ordered.
     """
     along = Window.partitionBy("doc").orderBy("start", "end")
     reach = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    p = paths(docs, length, k).select("doc", "start", (F.col("stop") + length).alias("end"), "places")
+    p = paths(docs, length, k, hot).select("doc", "start", (F.col("stop") + length).alias("end"), "places")
     spans = p.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("span", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     return spans.groupBy("doc", "span").agg(F.min("start").alias("s"), F.max("end").alias("e"), F.max("places").alias("n")).select(
         F.col("doc").alias("doc_id"), F.col("s").cast("long").alias("start_word"), F.col("e").cast("long").alias("end_word"), F.col("n").alias("n_places")

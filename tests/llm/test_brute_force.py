@@ -172,8 +172,8 @@ def test_a_tiny_source_does_not_hold_up_the_rest():
 # 3 repeated spans
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_repeated_spans(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(1, 50_000), (2, 3), (3, 1)])
+def test_repeated_spans(spark, seed, hot):
     rows, length = corpus(seed, 60), 20
     places = defaultdict(list)
     for i, text in rows:
@@ -193,7 +193,7 @@ def test_repeated_spans(spark, seed):
                 want.add((i, run[0], run[-1] + length, max(at[x] for x in run)))
                 run = []
             run.append(s)
-    assert {tuple(r) for r in repeats.repeated_spans(table(spark, rows), length, 9).collect()} == want
+    assert {tuple(r) for r in repeats.repeated_spans(table(spark, rows), length, 9, hot).collect()} == want
 
 
 # 4 HTML
