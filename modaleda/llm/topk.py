@@ -1,4 +1,4 @@
-"""Exact nearest neighbours of every vector, by tiles of matrix products."""
+"""Exact nearest neighbours of query vectors among all vectors, by tiles of matrix products."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import frames as X
@@ -17,32 +17,42 @@ from . import frames as X
 LISTS = "q long, part int, q_ids binary, ids binary, sims binary, width int"
 
 
+def vectors_of(ids: pa.Array, lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and rows of a matrix for each dimension; what is null, empty or not finite is left out."""
+    first, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    width = np.diff(first)
+    bad = np.append(0, np.cumsum(~np.isfinite(values)))
+    ok = (width > 0) & (bad[first[1:]] == bad[first[:-1]]) & lists.is_valid().to_numpy(zero_copy_only=False) & ids.is_valid().to_numpy(zero_copy_only=False)
+    for dim in np.unique(width[ok]):
+        rows = np.flatnonzero(ok & (width == dim))
+        yield ids.take(pa.array(rows)).to_numpy(zero_copy_only=False).astype("<i8"), values[first[rows][:, None] + np.arange(dim)]
+
+
 def _tiles(rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[int, tuple[list[int], list[np.ndarray]]] = {}
+        waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         number = itertools.count(TaskContext.get().partitionId() << 32)
 
-        def tile(dim: int) -> pa.RecordBatch:
-            ids, vectors = waiting.pop(dim)
-            m = np.stack(vectors).astype("<f8")
+        def tile(ids: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
             norm = np.linalg.norm(m, axis=1, keepdims=True)
-            m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-            ids_ = np.array(ids, dtype="<i8")
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([next(number)]), pa.array([len(ids)], pa.int32()), pa.array([ids_.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], ["dim", "tile", "n", "ids", "m"])
+            m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0).astype("<f8")
+            return pa.RecordBatch.from_arrays([pa.array([m.shape[1]], pa.int32()), pa.array([next(number)]), pa.array([len(ids)], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], ["dim", "tile", "n", "ids", "m"])
 
         for b in batches:
-            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if i is None or not v or any(x is None for x in v):
+            for ids, m in vectors_of(b.column(0), b.column(1)):
+                held = waiting.setdefault(m.shape[1], [])
+                held.append((ids, m))
+                if sum(len(i) for i, _ in held) < rows:
                     continue
-                v = np.array(v, dtype=np.float64)
-                if not np.isfinite(v).all():
-                    continue
-                ids, vectors = waiting.setdefault(len(v), ([], []))
-                ids.append(i), vectors.append(v)
-                if len(ids) == rows:
-                    yield tile(len(v))
-        for dim in list(waiting):
-            yield tile(dim)
+                ids, m = (np.concatenate(x) for x in zip(*held))
+                whole = len(ids) - len(ids) % rows
+                for lo in range(0, whole, rows):
+                    yield tile(ids[lo : lo + rows], m[lo : lo + rows])
+                held[:] = [(ids[whole:], m[whole:])]
+        for held in waiting.values():
+            ids, m = (np.concatenate(x) for x in zip(*held))
+            if len(ids):
+                yield tile(ids, m)
 
     return run
 
@@ -98,28 +108,37 @@ def _lists():
     return run
 
 
-def nearest(vectors: DataFrame, k: int = 10, tile_rows: int = 2048, side_tiles: int = 8, fan_in: int = 16, digits: int = 6) -> DataFrame:
-    """(vec_id, rank, neighbor_id, similarity): the k most similar other vectors of each, by cosine, exactly.
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, tile_rows: int = 2048, side_tiles: int = 8, fan_in: int = 16, digits: int = 6) -> DataFrame:
+    """(vec_id, rank, neighbor_id, similarity): the k most similar vectors for each query, by cosine, exactly.
 
-    vectors needs vec_id and embedding (array of numbers).  Tiles are dealt to sides of about
-    ``side_tiles``; every pair of sides is one task's work, in which each tile of queries meets
+    Both tables need vec_id (numbers) and embedding (array of numbers).  Tiles are dealt to sides of about
+    ``side_tiles``; every pair of a side of queries and one of vectors is one task's work, in which each tile of queries meets
     each tile of vectors in one matrix product.  The k best of each query are merged
     within the pair of sides, then ``fan_in`` sides at a time until one list is left.  Similarities are
-    rounded to ``digits``; ties go to the smaller id.  A vector is never its own
-    neighbour, nor is another row with its vec_id (each such row gets its own list).
-    Vectors are compared with those of the same dimension only; a zero vector has
+    rounded to ``digits``; ties go to the smaller id.  A row with the query's vec_id is no
+    neighbour of it; queries that repeat get a list each, and vectors that repeat are neighbours each by itself.
+    Vectors are compared with those of the same dimension only, of whatever length; a zero vector has
     similarity 0 to all.  Null ids, null or empty vectors and those that hold null, NaN
-    or infinity are left out.  Other columns are ignored, an empty table gives an empty
+    or infinity are left out; an id that is no number is an error.  Other columns are ignored, an empty table on either side gives an empty
     result.
     """
-    slim = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    tiles = X.written(slim.mapInArrow(_tiles(tile_rows), "dim int, tile long, n int, ids binary, m binary"), "tiles")
-    sides = max(1, -(-tiles.count() // side_tiles))
-    mine, every = F.pmod(F.xxhash64("tile"), F.lit(sides)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(sides - 1)))
-    q = tiles.select("dim", mine.alias("q_side"), every.alias("part"), "tile", "n", "ids", "m").groupBy("dim", "q_side", "part")
-    s = tiles.select(F.col("dim").alias("s_dim"), every.alias("to_side"), mine.alias("s_side"), F.col("n").alias("s_n"), F.col("ids").alias("s_ids"), F.col("m").alias("s_m")).groupBy("s_dim", "to_side", "s_side")
+
+    def tiles(df: DataFrame, what: str) -> tuple[DataFrame, int]:
+        slim = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+        t = X.written(slim.mapInArrow(_tiles(tile_rows), "dim int, tile long, n int, ids binary, m binary"), what)
+        return t, max(1, -(-t.count() // side_tiles))
+
+    def dealt(sides: int) -> Column:
+        return F.pmod(F.xxhash64("tile"), F.lit(sides)).cast("int")
+
+    def every(sides: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(sides - 1)))
+
+    (a, q_sides), (b, s_sides) = tiles(queries, "query-tiles"), tiles(vectors, "tiles")
+    q = a.select("dim", dealt(q_sides).alias("q_side"), every(s_sides).alias("part"), "tile", "n", "ids", "m").groupBy("dim", "q_side", "part")
+    s = b.select(F.col("dim").alias("s_dim"), every(q_sides).alias("to_side"), dealt(s_sides).alias("s_side"), F.col("n").alias("s_n"), F.col("ids").alias("s_ids"), F.col("m").alias("s_m")).groupBy("s_dim", "to_side", "s_side")
     lists = q.cogroup(s).applyInPandas(_cell(k, digits), LISTS)
-    count = sides
+    count = s_sides
     while count > 1:
         count = -(-count // fan_in)
         lists = lists.withColumn("part", F.pmod("part", F.lit(count))).groupBy("q", "part").applyInPandas(_merge(k), LISTS)

@@ -318,14 +318,15 @@ def test_decoding_is_the_likeliest_labelling():
 # 5 nearest vectors
 
 
-@pytest.mark.parametrize(("n", "tile"), [(7, 2), (150, 16)])
-def test_nearest(spark, n, tile):
+@pytest.mark.parametrize(("n", "tile", "every"), [(7, 2, 1), (150, 16, 1), (200, 16, 3)])
+def test_nearest(spark, n, tile, every):
     rng = np.random.default_rng(n)
     v = rng.integers(-2, 3, (n, 4)).astype(float)  # many ties
-    got = {(r.vec_id, r.rank): (r.neighbor_id, r.similarity) for r in topk.nearest(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(5), 5, tile, 2, 2).collect()}
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(5)
+    got = {(r.vec_id, r.rank): (r.neighbor_id, r.similarity) for r in topk.nearest(vectors.where(f"vec_id % {every} = 0"), vectors, 5, tile, 2, 2).collect()}
     norm = np.linalg.norm(v, axis=1)
     want = {}
-    for i in range(n):
+    for i in range(0, n, every):
         sims = sorted((-(round(float(v[i] @ v[j] / (norm[i] * norm[j])) if norm[i] * norm[j] else 0.0, 6) + 0.0), j) for j in range(n) if j != i)[:5]
         want.update({(i, k + 1): (j, -s) for k, (s, j) in enumerate(sims)})
     assert got.keys() == want.keys()

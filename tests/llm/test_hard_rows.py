@@ -56,7 +56,7 @@ OPERATORS = {
     "assignments": (hard_docs, mixing.assignments),
     "repeated_spans": (hard_docs, lambda d: repeats.repeated_spans(d, 12, 6)),
     "extract": (hard_pages, extract),
-    "nearest": (hard_vectors, lambda d: topk.nearest(d, 3)),
+    "nearest": (hard_vectors, lambda d: topk.nearest(d, d, 3)),
     "token_counts": (hard_docs, token_counts.token_counts),
     "toxic_documents": (hard_docs, lambda d: toxicity.toxic_documents(d, STEMS)),
     "kept_copies": (hard_docs, lambda d: heavy_dedup.kept_copies(d, 2)),
