@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..core import shared
+
 
 def exact_groups(items: DataFrame, key: str, digest: str) -> DataFrame:
     """(digest, first_id, n): groups of two or more items with one digest."""
@@ -67,15 +69,12 @@ def greedy_groups(items: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     return grouped.groupBy("root").applyInPandas(lambda f: pd.concat([*replay(iter([f]))]), f"seed {kind}, id {kind}")
 
 
-def connected(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(id, root): components of (a, b) by propagation of the least id, with pointer jumping."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/modaleda-checkpoint")
-    both = both.checkpoint()
+def connected(edges: DataFrame) -> DataFrame:
+    """(id, root): components of (a, b) by propagation of the least id, with pointer jumping, until nothing moves."""
+    shared.checkpoints(edges.sparkSession)
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     label = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("root")).checkpoint()
-    for _ in range(rounds):
+    while True:
         near = both.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("root").alias("m"))
         new = label.join(near, F.col("id") == F.col("a"), "left").select("id", "root", F.least("root", F.coalesce("m", "root")).alias("next"))
         jump = new.select(F.col("id").alias("j"), F.col("next").alias("to"))
@@ -83,7 +82,6 @@ def connected(edges: DataFrame, rounds: int = 30) -> DataFrame:
         label = new.select("id", F.col("next").alias("root"))
         if new.where("next != root").isEmpty():
             return label
-    raise RuntimeError(f"components are not stable after {rounds} rounds")
 
 
 def first_of_each(items: DataFrame, digest: str, key: str) -> DataFrame:

@@ -33,8 +33,12 @@ def token_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    last = F.size(tokens) - n + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """The n-grams of an array, from n copies of it that are shifted against each other."""
+    last = F.greatest(F.size(tokens) - n + 1, F.lit(0))
+    out = F.slice(tokens, F.lit(1), last)
+    for i in range(2, n + 1):
+        out = F.zip_with(out, F.slice(tokens, F.lit(i), last), lambda a, b: F.concat_ws(" ", a, b))
+    return out
 
 
 def term_counts(rows: DataFrame, key: str = "doc_id") -> DataFrame:

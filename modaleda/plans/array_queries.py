@@ -174,7 +174,7 @@ def cloud_shape_descriptors(t):
     return rounded(C.shape(clouds(t)))
 
 
-@query(f"with p as ({CLOUD_A}), d as (select a.cloud_id, a.vec_id, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))) as d from p a join p b on a.cloud_id = b.cloud_id and a.vec_id != b.vec_id group by all) select cloud_id, round(avg(d), 6) as nearest_neighbor_mean, round(quantile_cont(d, 0.5), 6) as nearest_neighbor_median, round(stddev_pop(d), 6) as nearest_neighbor_std from d group by cloud_id")
+@query()  # SQL would need all pairs of points; held against brute force in tests/test_whole_arrays.py
 def cloud_nearest_neighbours(t):
     return rounded(C.nearest_neighbours(clouds(t)))
 
@@ -282,15 +282,16 @@ def image_records(t):
     return rounded(rec.select(*[F.to_json(c).alias(c) if k.startswith("array") else F.col(c) for c, k in rec.dtypes]))
 
 
-_HASHES = "h as (select l_orderkey * 8 + l_linenumber as id, ('0x' || substr(md5((l_suppkey)::varchar), 1, 15))::bigint as h from lineitem), u as (select h, min(id) as id from h group by h)"
+# a hash for each customer; those of one nation, segment and range of balance have the same one
+_HASHES = "h as (select c_custkey as id, ('0x' || substr(md5(c_nationkey::varchar || c_mktsegment || floor(c_acctbal / 1000)::int::varchar), 1, 15))::bigint as h from customer)"
 
 
 def _hashes(t):
-    h = t("lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.conv(F.substring(F.md5(F.col("l_suppkey").cast("string")), 1, 15), 16, 10).cast("long").alias("h"))
-    return h.groupBy("h").agg(F.min("id").alias("id"))
+    of = F.md5(F.concat(F.col("c_nationkey").cast("string"), "c_mktsegment", F.floor(F.col("c_acctbal") / 1000).cast("int").cast("string")))
+    return t("customer").select(F.col("c_custkey").alias("id"), F.conv(F.substring(of, 1, 15), 16, 10).cast("long").alias("h"))
 
 
-@query(f"with {_HASHES} select a.id as id_a, b.id as id_b, bit_count(xor(a.h, b.h))::int as distance from u a join u b on a.id < b.id and bit_count(xor(a.h, b.h)) <= 20")
+@query(f"with {_HASHES} select a.id as id_a, b.id as id_b, bit_count(xor(a.h, b.h))::int as distance from h a join h b on a.id < b.id and bit_count(xor(a.h, b.h)) <= 20")
 def hamming_pairs(t):
     return dedup.hamming_pairs(_hashes(t), "id", "h", 20)
 
@@ -314,7 +315,6 @@ def image_dominant_colours(t):
 
 VIDEO = f"f0 as (select label as video_id, (row_number() over (partition by label order by vec_id) - 1)::int as frame_idx, {_E} as e from embeddings), vx as (select video_id, frame_idx, (i // 8)::int as y, (i % 8)::int as x, floor(greatest(0, least(1, e[i + 1])) * 255)::int as v from f0, range(64) t(i))"
 _PROFILE = "n as (select *, lag(v) over (partition by video_id, y, x order by frame_idx) as before, lag(v) over (partition by video_id, frame_idx, x order by y) as u, lead(v) over (partition by video_id, frame_idx, x order by y) as d, lag(v) over (partition by video_id, frame_idx, y order by x) as l, lead(v) over (partition by video_id, frame_idx, y order by x) as rr from vx), fs as (select video_id, frame_idx, avg(v) as brightness, stddev_pop(v) as contrast, var_pop(coalesce(u, d, v) + coalesce(d, u, v) + coalesce(l, rr, v) + coalesce(rr, l, v) - 4 * v) as sharpness, avg(abs(v - before)) as diff from n group by all)"
-SAMPLED = VIDEO.replace("range(64) t(i))", "range(64) t(i) where frame_idx % 5 = 0 and frame_idx < 1500)")
 
 
 def videos(t):
@@ -345,7 +345,7 @@ def video_scene_changes(t):
 _SHAPE = "sh as (select video_id, (max(frame_idx) + 1)::bigint as n_frames, 30.0::double as fps, (max(frame_idx) + 1) / 30.0 as duration_sec, (max(y) + 1)::bigint as height, (max(x) + 1)::bigint as width from {src} group by 1)"
 
 
-@query(f"with {SAMPLED}, {_PROFILE}, {_MOTION}, {VIDEO.replace('f0 as', 'f1 as').replace('from f0', 'from f1').replace('vx as', 'va as')}, {_SHAPE.format(src='va')} select video_id, n_frames, fps, round(duration_sec::double, 6) as duration_sec, height, width, round(width::double / height, 6) as aspect_ratio, round(height * width / 1e6::double, 6) as megapixels, sampled_frames, scene_change_count, {r(*_MOTION_NAMES)} from ms join sh using (video_id)")
+@query(f"with {VIDEO}, {_PROFILE}, {_MOTION}, {_SHAPE.format(src='vx')} select video_id, n_frames, fps, round(duration_sec::double, 6) as duration_sec, height, width, round(width::double / height, 6) as aspect_ratio, round(height * width / 1e6::double, 6) as megapixels, sampled_frames, scene_change_count, {r(*_MOTION_NAMES)} from ms join sh using (video_id)")
 def video_records(t):
     return rounded(V.records(videos(t)))
 
@@ -354,7 +354,7 @@ _Z = ", ".join(f"(coalesce({m}, 0)::double - avg(coalesce({m}, 0)::double) over
 _ZD = " + ".join(f"(a.z{i} - b.z{i}) * (a.z{i} - b.z{i})" for i in range(len(V.DISTANCE_METRICS)))
 
 
-@query(f"with {SAMPLED}, {_PROFILE}, {_MOTION}, {VIDEO.replace('f0 as', 'f1 as').replace('from f0', 'from f1').replace('vx as', 'va as')}, {_SHAPE.format(src='va')}, z as (select video_id, {_Z} from ms join sh using (video_id)) select a.video_id as id_a, b.video_id as id_b, round(sqrt({_ZD}), 6) as distance from z a join z b on a.video_id < b.video_id")
+@query(f"with {VIDEO}, {_PROFILE}, {_MOTION}, {_SHAPE.format(src='vx')}, z as (select video_id, {_Z} from ms join sh using (video_id)) select a.video_id as id_a, b.video_id as id_b, round(sqrt({_ZD}), 6) as distance from z a join z b on a.video_id < b.video_id")
 def video_pairwise_distance(t):
     return rounded(distance.euclidean(V.records(videos(t)), "video_id", V.DISTANCE_METRICS))
 
