@@ -46,13 +46,13 @@ def imbalance(df: DataFrame, key: str) -> DataFrame:
     return frequency(df, key).agg(F.count(F.lit(1)).alias("n_classes"), F.try_divide(F.max("count").cast("double"), F.min("count")).alias("imbalance_ratio"))
 
 
-def histogram(df: DataFrame, value: str, bins: int, by: list[str] | None = None) -> DataFrame:
+def histogram(df: DataFrame, value: str, bins: int, by: list[str] | None = None, log10: bool = False) -> DataFrame:
     """(bin, lo, hi, count) of equal-width bins over [min, max], the last one closed; bins without values are left out.
 
-    A constant is spread over one unit around it, as usual.
+    A constant is spread over one unit around it, as usual.  With log10 it is the logarithms of the positive values that are binned.
     """
     by = by or []
-    v = df.select(*by, finite(F.col(value)).alias("v")).where("v is not null")
+    v = df.select(*by, (F.log10(F.when(finite(F.col(value)) > 0, finite(F.col(value)))) if log10 else finite(F.col(value))).alias("v")).where("v is not null")
     ends = v.groupBy(*by).agg(F.min("v").alias("a"), F.max("v").alias("b"))
     ends = ends.select(*by, F.when(F.col("a") == F.col("b"), F.col("a") - 0.5).otherwise(F.col("a")).alias("a"), F.when(F.col("a") == F.col("b"), F.col("b") + 0.5).otherwise(F.col("b")).alias("b"))
     both = v.join(ends, by) if by else v.crossJoin(F.broadcast(ends))  # one row of bounds
@@ -83,3 +83,29 @@ def zscore(df: DataFrame, metrics: list[str]) -> DataFrame:
     both = filled.crossJoin(F.broadcast(moments))  # one row of moments
     scaled = {m: (F.col(f"__{m}") - F.col(f"__a_{m}")) / F.when(F.col(f"__s_{m}") == 0, 1.0).otherwise(F.col(f"__s_{m}")) for m in metrics}
     return both.select(*[c for c in df.columns if c not in metrics], *[scaled[m].alias(m) for m in metrics])
+
+
+def percentile_clip(df: DataFrame, value: str, out: str, lo: float = 2, hi: float = 98) -> DataFrame:
+    """df with ``out``: the value clipped to its lo-th and hi-th percentile and scaled to 0-1 (0 where these are equal); null and non-finite values give null."""
+    v = finite(F.col(value))
+    ends = df.agg(F.percentile(v, lo / 100).alias("__lo"), F.percentile(v, hi / 100).alias("__hi"))
+    both = df.crossJoin(F.broadcast(ends))  # one row of bounds
+    width = F.col("__hi") - F.col("__lo")
+    clipped = F.when(v.isNotNull(), F.least(F.greatest(v, F.col("__lo")), F.col("__hi")))
+    return both.withColumn(out, F.when(width == 0, F.when(v.isNotNull(), F.lit(0.0))).otherwise(F.try_divide(clipped - F.col("__lo"), width))).drop("__lo", "__hi")
+
+
+def rates(df: DataFrame, flags: list[str]) -> DataFrame:
+    """(flag, count, fraction) of boolean columns over all rows; null counts as false."""
+    n = F.count(F.lit(1))
+    one = F.struct(*[F.struct(F.count_if(F.coalesce(F.col(f), F.lit(False))).alias("count"), F.coalesce(F.try_divide(F.count_if(F.coalesce(F.col(f), F.lit(False))).cast("double"), n), F.lit(0.0)).alias("fraction")).alias(f) for f in flags]).alias("s")
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("flag"), F.col(f"s.{f}.count").alias("count"), F.col(f"s.{f}.fraction").alias("fraction")) for f in flags])).alias("r")
+    return df.agg(one).select(each).select("r.*")
+
+
+def vector_means(df: DataFrame, vectors: dict[str, list[str]]) -> DataFrame:
+    """(vector, component, mean, std) over the rows, element by element; the vectors are lists of columns."""
+    names = [c for cs in vectors.values() for c in cs]
+    wide = df.agg(*[F.struct(F.avg(finite(F.col(c))).alias("mean"), F.stddev_pop(finite(F.col(c))).alias("std")).alias(c) for c in names])
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("vector"), F.lit(i).alias("component"), F.col(f"{c}.mean").alias("mean"), F.col(f"{c}.std").alias("std")) for v, cs in vectors.items() for i, c in enumerate(cs)])).alias("r")
+    return wide.select(each).select("r.*")

@@ -124,8 +124,18 @@ def ahash(g: np.ndarray) -> int:
 
 
 def glcm(g: np.ndarray, size: int = 128, levels: int = 64) -> dict[str, float]:
-    """Means over four directions of the co-occurrence measures at distance 1."""
-    q = np.clip(linear_resize(g, size, size), 0, 255).astype(np.int64) // (256 // levels)
+    """Means over four directions of the co-occurrence measures at distance 1, of 0-255 levels."""
+    return cooccurrence(np.clip(linear_resize(g, size, size), 0, 255).astype(np.int64) // (256 // levels), levels)
+
+
+def texture_of(scores: np.ndarray, size: int = 128, levels: int = 64) -> dict[str, float]:
+    """The same of any map of numbers, spread over the levels from its least to its greatest."""
+    s = linear_resize(scores, size, size)
+    return cooccurrence(((s - s.min()) / (s.max() - s.min() + 1e-9) * (levels - 1)).astype(np.int64), levels)
+
+
+def cooccurrence(q: np.ndarray, levels: int) -> dict[str, float]:
+    size = len(q)
     i, j = np.mgrid[0:levels, 0:levels]
     out: dict[str, list[float]] = {}
     for dy, dx in ((0, 1), (1, 1), (1, 0), (1, -1)):

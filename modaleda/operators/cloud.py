@@ -209,3 +209,13 @@ def height_histogram(points: DataFrame, bins: int = 40) -> DataFrame:
     h = stats.histogram(finite_points(points), "z", bins, [ID])
     n = h.groupBy(ID).agg(F.sum("count").alias("n"))
     return h.join(n, ID).select(ID, "bin", "lo", "hi", "count", (F.col("count") / F.col("n") / (F.col("hi") - F.col("lo"))).alias("density"))
+
+
+def dimensions(points: DataFrame) -> DataFrame:
+    """(cloud_id, n_dims, has_intensity, has_color): what a point holds beside x, y and z; a fourth number is the intensity, six or more hold colours."""
+    extra = F.lit(0)
+    for c in ("intensity", "r", "g", "b"):
+        if c in points.columns:
+            extra = extra + F.when(F.count(c) > 0, 1).otherwise(0)
+    g = points.groupBy(ID).agg((extra + 3).cast("int").alias("n_dims"))
+    return g.select(ID, "n_dims", (F.col("n_dims") >= 4).alias("has_intensity"), (F.col("n_dims") >= 6).alias("has_color"))

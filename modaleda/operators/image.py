@@ -158,3 +158,33 @@ def dominant_colours(pixels: DataFrame, k: int = 8, seed: int = 42) -> DataFrame
     sizes = model.transform(v).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
     centres = pixels.sparkSession.createDataFrame([(i, *map(float, c)) for i, c in enumerate(model.clusterCenters())], "prediction int, r double, g double, b double")
     return sizes.join(F.broadcast(centres), "prediction").select("r", "g", "b", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share")).orderBy(F.desc("share"))
+
+
+def resized_average(images: DataFrame, height: int = 224, width: int = 224, label: str | None = None) -> DataFrame:
+    """(y, x, mean and deviation of each channel) over images brought to one size; of one label, if asked for.
+
+    Sums are made within each partition, so one picture of sums for each of them is all that is shuffled.
+    """
+    shape = (height, width, 3)
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, s, q = 0, np.zeros(shape), np.zeros(shape)
+        for f in frames:
+            for h, w, data in zip(f.height, f.width, f.data):
+                a = np.frombuffer(data, np.uint8).reshape(int(h), int(w), 3).astype(np.float64)
+                a = np.stack([K.linear_resize(a[..., c], height, width) for c in range(3)], axis=2)
+                n, s, q = n + 1, s + a, q + a * a
+        if n:
+            y, x = np.mgrid[0:height, 0:width]
+            yield pd.DataFrame({"y": y.ravel(), "x": x.ravel(), "n": n} | {f"{k}{c}": m[..., i].ravel() for k, m in (("s", s), ("q", q)) for i, c in enumerate("rgb")})
+
+    if label is not None:
+        images = images.where(F.col("label") == label)
+    parts = images.where("data is not null").select("height", "width", "data").mapInPandas(sums, "y int, x int, n long, sr double, sg double, sb double, qr double, qg double, qb double")
+    total = parts.groupBy("y", "x").agg(*[F.sum(c).alias(c) for c in parts.columns[2:]])
+    mean = lambda c: F.col(f"s{c}") / F.col("n")
+    return total.select("y", "x", *[e for c in "rgb" for e in (mean(c).alias(f"mean_{c}"), F.sqrt(F.greatest(F.lit(0.0), F.col(f"q{c}") / F.col("n") - mean(c) * mean(c))).alias(f"std_{c}"))])
+
+
+def orientation() -> Column:
+    return F.when(F.col("aspect_ratio") > 1.05, "landscape").when(F.col("aspect_ratio") < 0.95, "portrait").otherwise("square")

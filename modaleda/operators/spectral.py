@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import stats
+from ..functions import image as K
 
 ID = "cube_id"
 TARGETS = {"nir": 850, "red": 670, "green": 560, "blue": 490}
@@ -204,3 +205,33 @@ def false_colour(pixels: DataFrame, bands: int) -> DataFrame:
 
 def describe_indices(pixels: DataFrame, bands: int) -> DataFrame:
     return stats.describe(index_stats(pixels, bands), ["mean", "std"], ["index"])
+
+
+def gradient(pixels: DataFrame) -> DataFrame:
+    """(cube_id, band, gradient): how far the mean spectrum moves from the band before, 0 in the first."""
+    before = F.lag("mean").over(Window.partitionBy(ID).orderBy("band"))
+    return band_stats(pixels).select(ID, "band", F.coalesce(F.abs(F.col("mean") - before), F.lit(0.0)).alias("gradient"))
+
+
+TEXTURE = ["glcm_contrast", "glcm_dissimilarity", "glcm_homogeneity", "glcm_asm", "glcm_energy", "glcm_correlation"]
+
+
+def texture(pixels: DataFrame) -> DataFrame:
+    """(cube_id, glcm_...): co-occurrence measures of the first principal component, spread over 64 levels.  A cube's map of scores, one number a pixel, is one group."""
+    kind = dict(pixels.dtypes)[ID]
+
+    def measured(f: pd.DataFrame) -> pd.DataFrame:
+        m = np.zeros((int(f.row.max()) + 1, int(f.col.max()) + 1))
+        m[f.row, f.col] = f.score
+        return pd.DataFrame([{"cube_id": f.cube_id.iloc[0]} | K.texture_of(m)])[["cube_id", *TEXTURE]]
+
+    scores = pca_scores(pixels, 1).select(ID, "row", "col", F.col("scores")[0].alias("score"))
+    return scores.groupBy(ID).applyInPandas(measured, f"cube_id {kind}, " + ", ".join(f"{k} double" for k in TEXTURE))
+
+
+def records(pixels: DataFrame, bands: int, wavelengths: list[float] | None = None) -> DataFrame:
+    """All metrics of each cube, one row each."""
+    size = pixels.groupBy(ID).agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"), F.max(F.size("bands")).alias("bands"))
+    glob = global_stats(pixels).select(ID, F.col("mean").alias("global_mean"), F.col("std").alias("global_std"), "dynamic_range")
+    wide = index_stats(pixels, bands, wavelengths).groupBy(ID).pivot("index", sorted(INDICES)).agg(F.first("mean").alias("mean"), F.first("std").alias("std"))
+    return size.join(glob, ID).join(smoothness_and_dropout(pixels).drop("n_bands"), ID).join(interband_correlation(pixels), ID, "left").join(wide, ID).join(texture(pixels), ID)

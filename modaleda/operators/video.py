@@ -1,10 +1,16 @@
-"""Videos as gray pixel rows (video_id, frame_idx, y, x, gray)."""
+"""Videos: metrics over gray pixel rows (video_id, frame_idx, y, x, gray), and over whole frames (video_id, frame_idx, height, width, data), RGB bytes, by an Arrow kernel."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import image as K
+
 ID = "video_id"
 
 
@@ -60,3 +66,45 @@ DISTANCE_METRICS = ["n_frames", "fps", "duration_sec", "height", "width", "brigh
 
 def records(pixels: DataFrame, fps: float = 30.0, every: int = 1, most: int | None = None) -> DataFrame:
     return shape(pixels, fps).join(motion_summary(frame_stats(sampled(pixels, every, most))), ID)
+
+
+def whole_frame_stats(frames: DataFrame) -> DataFrame:
+    """frame_stats of RGB frames, with the sums of each channel and its squares in 0-1; only frames are sorted, never pixels."""
+    kind = dict(frames.dtypes)[ID]
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            rows = []
+            for v, i, h, w, data, before in zip(f.video_id, f.frame_idx, f.height, f.width, f.data, f.before):
+                a = np.frombuffer(data, np.uint8).reshape(int(h), int(w), 3)
+                g = np.rint(K.gray(a))
+                diff = None if before is None or len(before) != len(data) else float(np.abs(g - np.rint(K.gray(np.frombuffer(before, np.uint8).reshape(a.shape)))).mean())
+                u = a.reshape(-1, 3) / 255.0
+                rows.append((v, i, float(g.mean()), float(g.std()), K.laplacian_variance(g), diff, len(u), u.sum(axis=0).tolist(), (u * u).sum(axis=0).tolist()))
+            yield pd.DataFrame(rows, columns=["video_id", "frame_idx", "brightness", "contrast", "sharpness", "diff", "n", "s", "q"])
+
+    one = frames.where("data is not null").select(ID, "frame_idx", "height", "width", "data", F.lag("data").over(Window.partitionBy(ID).orderBy("frame_idx")).alias("before"))
+    return one.mapInPandas(measured, f"video_id {kind}, frame_idx long, brightness double, contrast double, sharpness double, diff double, n long, s array<double>, q array<double>")
+
+
+def colour(frames: DataFrame) -> DataFrame:
+    """(video_id, mean_r, ..., std_b): mean and deviation of each channel in 0-1 over all pixels, of whole_frame_stats."""
+    n = F.sum("n")
+    mean = {c: F.sum(F.col("s")[i]) / n for i, c in enumerate("rgb")}
+    return frames.groupBy(ID).agg(
+        *[m.alias(f"mean_{c}") for c, m in mean.items()], *[F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("q")[i]) / n - mean[c] * mean[c])).alias(f"std_{c}") for i, c in enumerate("rgb")]
+    )
+
+
+def pixel_colour(pixels: DataFrame) -> DataFrame:
+    """The same of pixel rows with r, g and b."""
+    return pixels.groupBy(ID).agg(*[f(F.col(c) / 255).alias(f"{n}_{c}") for n, f in (("mean", F.avg), ("std", F.stddev_pop)) for c in "rgb"])
+
+
+def sample_frames(frames: DataFrame, n: int = 6) -> DataFrame:
+    """At most n frames of each video, evenly spread from the first to the last."""
+    size = frames.groupBy(ID).agg(F.max("frame_idx").alias("__last"))
+    steps = F.least(F.col("__last") + 1, F.lit(n)) - 1
+    wanted = F.transform(F.sequence(F.lit(0).cast("long"), steps.cast("long")), lambda i: F.when(steps == 0, F.lit(0)).otherwise(F.floor(i * F.col("__last") / steps)).cast("long"))
+    wanted = size.select(ID, F.explode(F.array_distinct(wanted)).alias("frame_idx"))
+    return frames.join(wanted, [ID, "frame_idx"], "left_semi")

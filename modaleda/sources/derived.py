@@ -41,3 +41,9 @@ def images(embeddings: DataFrame) -> DataFrame:
 def videos(embeddings: DataFrame) -> DataFrame:
     f = _ranked(embeddings).select(F.col("id").alias("video_id"), F.col("at").alias("frame_idx"), F.posexplode("e").alias("i", "v"))
     return f.select("video_id", "frame_idx", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).alias("x"), _level(F.col("v")).alias("gray"))
+
+
+def colour_videos(embeddings: DataFrame) -> DataFrame:
+    """The same with r, g and b: a pixel's colours are its own value and the two after it."""
+    f = _ranked(embeddings).select(F.col("id").alias("video_id"), F.col("at").alias("frame_idx"), "e", F.posexplode("e").alias("i", "v"))
+    return f.select("video_id", "frame_idx", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).alias("x"), *[_level(F.get("e", (F.col("i") + k) % F.size("e"))).alias(c) for k, c in enumerate("rgb")])

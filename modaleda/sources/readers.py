@@ -19,6 +19,7 @@ DOCUMENTS = (".txt", ".text", ".md", ".rst", ".log", ".html", ".htm", ".csv", ".
 CLOUDS = (".npy", ".npz", ".txt", ".xyz", ".pts", ".csv", ".ply", ".las", ".laz")
 CUBES = (".npy", ".npz", ".hdr")
 CUBE_DATA = (".bil", ".bip", ".bsq", ".envi", ".img", ".dat", ".raw")
+VIDEOS = (".mp4", ".avi", ".mov", ".mkv", ".webm", ".mpeg", ".mpg", ".m4v", ".npy", ".npz")
 IMAGES = (".jpg", ".jpeg", ".png", ".bmp", ".gif", ".tif", ".tiff", ".webp")
 POINTS_A_ROW_GROUP = 50_000
 
@@ -145,3 +146,29 @@ def read_images(spark: SparkSession, path: str | list[str], labels: dict[str, st
         F.when(good, rgb("image.data", "image.nChannels")).alias("data"), (~good).alias("is_corrupt"),
     )
     return labelled(out, labels, label_from_parent)
+
+
+def read_videos(spark: SparkSession, path: str | list[str], labels: dict[str, str] | None = None, label_from_parent: bool = False, recursive: bool = True, every: int = 1, most: int | None = None, fps: float = 30.0) -> DataFrame:
+    """One row for each frame: (path, frame_idx, height, width, fps, data, is_corrupt, error, label), RGB bytes.
+
+    Clips are arrays of frames (.npy, .npz), or files that OpenCV can decode where it is installed; without it they are corrupt rows.  Every ``every``-th
+    frame is taken, ``most`` of them at most; frame_idx counts all.
+    """
+
+    def rows_of(_: str, ext: str, content: bytes) -> Iterator[pd.DataFrame]:
+        rate, frames = formats.clip(content, ext, every, most)
+        for i, a in frames:
+            yield pd.DataFrame({"frame_idx": pd.array([i], "Int64"), "height": pd.array([a.shape[0]], "Int32"), "width": pd.array([a.shape[1]], "Int32"), "fps": rate or fps, "data": [a.tobytes()]})
+
+    return labelled(_mapped(files(spark, path, VIDEOS, recursive), "frame_idx long, height int, width int, fps double, data binary", rows_of), labels, label_from_parent)
+
+
+def resolved(path: str | list[str], extensions: tuple[str, ...]) -> str | list[str]:
+    """The path or paths, if every one that names a file has one of the extensions; sorted, where there are several."""
+    import os
+
+    paths = [path] if isinstance(path, str) else list(path)
+    bad = [p for p in paths if os.path.splitext(p)[1] and not p.lower().endswith(extensions) and not os.path.isdir(p)]
+    if bad:
+        raise ValueError(f"no reader for {', '.join(bad)}; there are readers for {', '.join(extensions)}")
+    return path if isinstance(path, str) else sorted(paths)

@@ -46,3 +46,36 @@ def html_report(title: str, sections: dict[str, DataFrame], rows: int = 200) ->
 
 def write_report(path: str, title: str, sections: dict[str, DataFrame]) -> None:
     Path(path).write_text(html_report(title, sections), encoding="utf-8")
+
+
+def columns(bins: list[tuple[float, float, float]], width: int = 600, height: int = 160) -> str:
+    """An SVG histogram of (lo, hi, count)."""
+    if not bins:
+        return ""
+    left, right, most = bins[0][0], bins[-1][1], max(n for *_, n in bins)
+    scale = (width - 20) / ((right - left) or 1)
+    rects = "".join(f'<rect x="{10 + (lo - left) * scale:.1f}" y="{height - 20 - n / most * (height - 30):.1f}" width="{max(1.0, (hi - lo) * scale - 1):.1f}" height="{n / most * (height - 30):.1f}" fill="#4878a8"/>' for lo, hi, n in bins)
+    return f'<svg role="img" width="{width}" height="{height}">{rects}<text x="10" y="{height - 4}">{shown(float(left))}</text><text x="{width - 10}" y="{height - 4}" text-anchor="end">{shown(float(right))}</text></svg>'
+
+
+def summary_html(title: str, summary: dict, charts: dict[str, DataFrame]) -> str:
+    """Nested numbers as tables, one section for each part, and a histogram for each of the charts (bin, lo, hi, count)."""
+
+    def flat(prefix: str, v: object) -> list[tuple[str, object]]:
+        if isinstance(v, dict):
+            return [x for k, w in v.items() for x in flat(f"{prefix}.{k}" if prefix else str(k), w)]
+        if isinstance(v, (list, tuple)) and v and isinstance(v[0], (list, tuple)) and len(v[0]) == 2:
+            return [(f"{prefix}: {k}", n) for k, n in v]
+        return [(prefix, ", ".join(map(str, v)) if isinstance(v, (list, tuple)) else v)]
+
+    out = [f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title><style>{STYLE}</style></head><body><h1>{html.escape(title)}</h1>"]
+    for name, part in summary.items():
+        rows = "".join(f"<tr><td>{html.escape(k)}</td><td>{shown(v)}</td></tr>" for k, v in flat("", part if isinstance(part, dict) else {name: part}))
+        out.append(f"<h2>{html.escape(name)}</h2><table>{rows}</table>")
+    for name, df in charts.items():
+        out.append(f"<h2>{html.escape(name)}</h2>" + columns([(r["lo"], r["hi"], r["count"]) for r in df.orderBy("bin").collect()]))
+    return "".join(out) + "</body></html>"
+
+
+def write_summary(path: str, title: str, summary: dict, charts: dict[str, DataFrame]) -> None:
+    Path(path).write_text(summary_html(title, summary, charts), encoding="utf-8")
