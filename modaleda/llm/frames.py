@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -47,6 +48,8 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _scopes:
+        made.append(path)
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
@@ -57,6 +60,33 @@ def spread(df: DataFrame, *key: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Yields ``written`` for what is to stay; all other tables that are written inside go at the end."""
+    made, kept = [], []
+    _scopes.append(made)
+
+    def keep(df: DataFrame, what: str) -> DataFrame:
+        out = written(df, what)
+        kept.append(made[-1])
+        return out
+
+    try:
+        yield keep
+    finally:
+        _scopes.remove(made)
+        for path in set(made) - set(kept):
+            _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def first_of(df: DataFrame, *key: str) -> DataFrame:
     """One row of each key; rows of a hot key are thinned before the shuffle."""
     return df.withColumn("__nth__", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))).where("__nth__ = 1").drop("__nth__")
@@ -65,11 +95,8 @@ def first_of(df: DataFrame, *key: str) -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Removes the files of tables that ``written`` made, once nothing reads them any more."""
     for df in tables:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
         for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _remove(df.sparkSession, f)
 
 
 def sieve(kept: DataFrame, most: int = 1 << 25) -> Callable[..., Column] | None:

@@ -94,13 +94,17 @@ def drop_copies(docs: DataFrame, counters: int = 256) -> DataFrame:
 
     Of the rows with one text the one with the smallest doc_id stays (null ids count
     as the largest); of rows that agree in both just one stays.  A null text equals
-    no other, so such rows stay; empty texts equal each other.  Returns the columns of
+    no other, so such rows stay; empty texts equal each other, and long ones are compared whole, by their MD5.  Returns the columns of
     docs, whatever their names; an empty table gives an empty one.
     """
     return X.unpacked(_survivors(docs, counters).select(X.ROW))
 
 
 def kept_copies(docs: DataFrame, counters: int = 256) -> DataFrame:
-    """(doc_id, digest, n_copies) of the rows that ``drop_copies`` keeps: the MD5 of the text, and how many rows have it."""
+    """(doc_id, digest, n_copies) of the rows that ``drop_copies`` keeps: the MD5 of the text, and how many rows have it.
+
+    A row with a null text has a null digest and one copy; repeated rows are copies of each other, ties in doc_id leave one of them;
+    other columns are ignored; an empty table gives an empty result.
+    """
     k = _survivors(docs.select("doc_id", "text"), counters)
     return k.select(F.col(f"{X.ROW}.doc_id").alias("doc_id"), F.col("__digest__").alias("digest"), F.col("__copies__").alias("n_copies"))

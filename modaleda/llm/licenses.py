@@ -49,6 +49,19 @@ TEMPLATES: dict[str, str] = {
     "CC-BY-NC-4.0-name": "Creative Commons Attribution-NonCommercial 4.0 International",
     "CC-BY-SA-4.0-name": "Creative Commons Attribution-ShareAlike 4.0 International",
     "CC-BY-4.0-name": "Creative Commons Attribution 4.0 International",
+    # identifiers of source files
+    "Apache-2.0-SPDX": "SPDX-License-Identifier: Apache-2.0",
+    "MIT-SPDX": "SPDX-License-Identifier: MIT",
+    "GPL-3.0-SPDX": "SPDX-License-Identifier: GPL-3.0-only",
+    "GPL-3.0-or-later-SPDX": "SPDX-License-Identifier: GPL-3.0-or-later",
+    "GPL-2.0-SPDX": "SPDX-License-Identifier: GPL-2.0",
+    "LGPL-2.1-SPDX": "SPDX-License-Identifier: LGPL-2.1",
+    "BSD-3-SPDX": "SPDX-License-Identifier: BSD-3-Clause",
+    "BSD-2-SPDX": "SPDX-License-Identifier: BSD-2-Clause",
+    "MPL-2.0-SPDX": "SPDX-License-Identifier: MPL-2.0",
+    "ISC-SPDX": "SPDX-License-Identifier: ISC",
+    "CC-BY-4.0-SPDX": "SPDX-License-Identifier: CC-BY-4.0",
+    "Unlicense-SPDX": "SPDX-License-Identifier: Unlicense",
     # fuller texts
     "Apache-2.0-text": """Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
         WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
@@ -205,7 +218,7 @@ def _emit(templates: dict[str, str], coverage: float, stretch: float):
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float = 0.9, stretch: float = 1.5) -> DataFrame:
     """(doc_id, license, coverage, first_word, end_word): notices that cover the given share of a template within ``stretch`` times its length.
 
-    docs needs doc_id and text.  A row comes back once for each license that it has, with
+    docs needs doc_id and text, which is read whole, however long.  A row comes back once for each license that it has, with
     its best stretch of words [first_word, end_word), the earliest of equals.  Null and
     empty texts have none; null ids and repeated rows are kept as they are; other columns
     are ignored; an empty table gives an empty result.

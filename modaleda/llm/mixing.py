@@ -106,7 +106,10 @@ def _chosen(docs: DataFrame, weights, power, block_tokens, blocks_per_shard, see
 def mixed(
     docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.7, block_tokens: int = 1024, blocks_per_shard: int = 64, seed: str = "mix", holding: float = 0.9, length: Column | None = None
 ) -> DataFrame:
-    """The rows of docs that fall into chosen blocks, with the columns of docs alone; they are shuffled once, whole.  See ``assignments``."""
+    """The rows of docs that fall into chosen blocks, with the columns of docs alone; they are shuffled once, whole.
+
+    Nulls, empty and long texts, ties, repeated rows and an empty table are treated as in ``assignments``.
+    """
     return X.unpacked(_chosen(docs, weights, power, block_tokens, blocks_per_shard, seed, holding, length).select(X.ROW))
 
 

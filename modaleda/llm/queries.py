@@ -13,44 +13,54 @@ WORDS = r"regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10ffff}]+')"
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of all documents; hard rows as in licenses.license_scan."""
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks and shards of the chosen documents; hard rows as in mixing.assignments."""
     return mixing.assignments(table(spark, sf_dir, "documents"))
 
 
 def op3_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of 50 words or more that two documents share; hard rows as in repeats.repeated_spans."""
     return repeats.repeated_spans(table(spark, sf_dir, "documents"))
 
 
 def op4_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content of all pages, by a model trained on a sample of them and invented pages; hard rows as in html_content.extract."""
     return html_content.extract(table(spark, sf_dir, "pages"))
 
 
 def op5_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of all vectors for each whose id is divisible by 20; hard rows as in topk.nearest."""
     vectors = table(spark, sf_dir, "embeddings")
     return topk.nearest(vectors.where("vec_id % 20 = 0"), vectors)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word-piece counts of all documents; hard rows as in token_counts.token_counts."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
 def op7_toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that the grammar finds toxic, with stems learnt from the labels; hard rows as in toxicity.toxic_documents."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.toxic_documents(docs, toxicity.learnt_stems(docs, table(spark, sf_dir, "labels")))
 
 
 def op8_kept_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document of each text and its number of copies; hard rows as in heavy_dedup.kept_copies."""
     return heavy_dedup.kept_copies(table(spark, sf_dir, "documents"))
 
 
 def op9_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training sequences of 2,048 tokens; hard rows as in packing.packed_sequences."""
     return packing.packed_sequences(table(spark, sf_dir, "documents"))
 
 
 def op10_similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document that is similar to another; hard rows as in chosen_path.similar_classes."""
     return chosen_path.similar_classes(table(spark, sf_dir, "documents"))
 
 
