@@ -45,7 +45,7 @@ def test_query_agrees_with_its_sql(spark, db, name):
 
 @pytest.mark.parametrize("name", [q for q in catalog.QUERIES if q not in catalog.ORACLE_SQL])
 def test_query_without_sql_runs(spark, name):
-    assert catalog.QUERIES[name](spark, FOLDER).columns
+    assert catalog.QUERIES[name](spark, FOLDER).limit(50).collect()
 
 
 def test_every_sql_has_its_query():
