@@ -104,7 +104,7 @@ def _chosen(docs: DataFrame, weights, power, block_tokens, blocks_per_shard, see
 
 
 def mixed(
-    docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.7, block_tokens: int = 1024, blocks_per_shard: int = 64, seed: str = "mix", holding: float = 0.9, length: Column | None = None
+    docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.7, block_tokens: int = 256, blocks_per_shard: int = 256, seed: str = "mix", holding: float = 0.9, length: Column | None = None
 ) -> DataFrame:
     """The rows of docs that fall into chosen blocks, with the columns of docs alone; they are shuffled once, whole.
 
@@ -114,7 +114,7 @@ def mixed(
 
 
 def assignments(
-    docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.7, block_tokens: int = 1024, blocks_per_shard: int = 64, seed: str = "mix", holding: float = 0.9, length: Column | None = None
+    docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.7, block_tokens: int = 256, blocks_per_shard: int = 256, seed: str = "mix", holding: float = 0.9, length: Column | None = None
 ) -> DataFrame:
     """(doc_id, source, block, shard, n_tokens) of the chosen documents.
 

@@ -76,15 +76,15 @@ ORACLE_SQL: dict[str, str] = {
     "op2_source_mix": r"""
 with d as (select doc_id, source, text, len(regexp_extract_all(text, '\S+')) as n, md5('mix:' || doc_id) as h from documents),
 t as (select source, sum(n)::bigint as total from d group by source),
-w as (select source, round(pow(total, 0.7), 6) as w, ((greatest(total, 1) + 1023) // 1024)::bigint as blocks from t),
-seats as (select source from w, range(64) r(k) where w > 0 order by w / (2 * k + 1) desc, source limit 64),
+w as (select source, round(pow(total, 0.7), 6) as w, ((greatest(total, 1) + 255) // 256)::bigint as blocks from t),
+seats as (select source from w, range(256) r(k) where w > 0 order by w / (2 * k + 1) desc, source limit 256),
 q as (select source, count(*)::bigint as quota from seats group by source),
 f as (select w.source, blocks, quota, blocks // quota as fill, sum(quota) over (order by blocks // quota desc, quota desc, w.source rows unbounded preceding) as had, least(blocks, 4194304) // 3 as low from w join q using (source)),
 n as (select greatest(1, coalesce(max(fill) filter (had >= 0.9 * (select sum(quota) from q)), 1))::bigint as shards from f),
 p as (select source, blocks, quota, shards, 1 + low + ('0x' || substr(md5('mix:stride:' || source), 1, 8))::bigint % (low + 1) as h from f, n),
 m as (select p.*, (select min(h + k) from range(1000) r(k) where gcd(h + k, blocks) = 1) as stride from p),
 s as (select *, coalesce(sum(n) over (partition by source order by h, doc_id, md5(text) rows between unbounded preceding and 1 preceding), 0)::bigint as start from d),
-b as (select doc_id, s.source, n, least(start // 1024, blocks - 1) as block, blocks, quota, shards, stride, ('0x' || substr(md5('mix:' || s.source), 1, 8))::bigint % blocks as shift from s join m on s.source = m.source),
+b as (select doc_id, s.source, n, least(start // 256, blocks - 1) as block, blocks, quota, shards, stride, ('0x' || substr(md5('mix:' || s.source), 1, 8))::bigint % blocks as shift from s join m on s.source = m.source),
 c as (select *, (block * stride + shift) % blocks as slot from b)
 select doc_id, source, block::bigint as block, (slot // quota)::bigint as shard, n::bigint as n_tokens from c where slot < quota * shards""",
     "op3_repeated_spans": rf"""

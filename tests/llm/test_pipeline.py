@@ -102,7 +102,7 @@ def test_sources_are_mixed(stages):
     total = defaultdict(int)
     for r in stages[3]:
         total[r.source] += len(r.text.split())
-    plan = {s: (blocks, quota, shards) for s, blocks, quota, shards, _ in mixing._plan(total, None, 0.7, 1024, 64, 0.9, "mix")}
+    plan = {s: (blocks, quota, shards) for s, blocks, quota, shards, _ in mixing._plan(total, None, 0.7, 256, 256, 0.9, "mix")}
     assert {r.source for r in stages[4]} == set(plan)
     for s, (blocks, quota, shards) in plan.items():
         if blocks <= quota * shards:
