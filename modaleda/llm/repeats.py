@@ -16,7 +16,7 @@ most of them before they are even unpacked.  What is left is compacted:
 
 Nothing is sampled and no count is bounded; equal edges agree in 96 bits of hash.  A minimizer with more than
 ``hot`` rows (a line that many documents share) is not brought together in one task: its edges are
-counted where they are, the counts are added up, and joined back to the edges in ``SALTS`` parts.
+counted where they are, the counts are added up, and joined back to the edges: broadcast if they are few, else in ``SALTS`` parts.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from . import frames as X
 from . import words as W
 
 HOT_KEYS = 100_000  # at most so many minimizers are broadcast as hot, the most frequent ones; each of the rest has no more than that share of all rows
+HOT_EDGES = 500_000  # up to so many counts of hot edges (some 20 MB) are broadcast; more are joined in SALTS parts
 SALTS = 64
 _POS_BITS = 30
 _POS = np.uint64((1 << _POS_BITS) - 1)
@@ -81,32 +82,30 @@ def _emit(length: int, k: int):
     return run
 
 
-def _shared(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """(least, doc, pos, at, places, docs, a, b): the edges that two documents have or more."""
-    cold = rows if hot is None else rows.join(F.broadcast(hot), "least", "left_anti")
+def _cold(rows: DataFrame) -> DataFrame:
+    """(least, doc, pos, at, places, docs, a, b): the edges that two documents have or more; each minimizer is brought together, once."""
     same, edge = Window.partitionBy("least"), Window.partitionBy("least", "edge")
-    held = cold.repartition("least").withColumn("a", F.min("doc").over(same)).withColumn("b", F.max("doc").over(same)).where("a < b")
+    held = rows.repartition("least").withColumn("a", F.min("doc").over(same)).withColumn("b", F.max("doc").over(same)).where("a < b")
     unpacked = held.select("least", "doc", "pos", F.posexplode("edges").alias("i", "edge"))
-    stats = [F.count(F.lit(1)).alias("places"), F.bit_xor(F.xxhash64("doc")).alias("docs"), F.min("doc").alias("a"), F.max("doc").alias("b")]
-    at = (F.col("pos") + F.col("i")).alias("at")
     over = [F.count(F.lit(1)).over(edge).alias("places"), F.bit_xor(F.xxhash64("doc")).over(edge).alias("docs"), F.min("doc").over(edge).alias("a"), F.max("doc").over(edge).alias("b")]
-    shared = unpacked.select("least", "doc", "pos", at, *over).where("a < b")
-    if hot is None:
-        return shared
-    often = rows.join(F.broadcast(hot), "least", "left_semi").select("least", "doc", "pos", F.posexplode("edges").alias("i", "edge"))
-    counts = often.groupBy("least", "edge").agg(*stats).where("a < b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    often = often.withColumn("salt", F.pmod(F.xxhash64("doc", "pos"), F.lit(SALTS)).cast("int")).join(counts, ["least", "edge", "salt"])
-    return shared.unionByName(often.select("least", "doc", "pos", at, "places", "docs", "a", "b"))
+    return unpacked.select("least", "doc", "pos", (F.col("pos") + F.col("i")).alias("at"), *over).where("a < b")
 
 
-def pieces(docs: DataFrame, length: int = 50, k: int = 25, hot: int = 50_000) -> DataFrame:
-    """(doc, start, stop, places, path): runs of consecutive repeated edges of one minimizer and one set of occurrences."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select(F.col("doc_id").alias("doc"), F.col("text").cast("string").alias("text")).where("doc is not null and text is not null")
-    rows = texts.mapInArrow(_emit(length, k), f"least long, doc {kind}, pos int, edges array<int>")
-    often = rows.groupBy("least").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot)
-    often = X.written(often.orderBy(F.desc("n"), "least").limit(HOT_KEYS).select("least"), "hot")
-    shared = _shared(rows, None if often.isEmpty() else often)
+def _hot(rows: DataFrame, most: int = HOT_EDGES) -> DataFrame:
+    """The same without bringing a minimizer together: counts of its edges are added up, and joined back."""
+    edges = rows.select("least", "doc", "pos", F.posexplode("edges").alias("i", "edge"))
+    stats = [F.count(F.lit(1)).alias("places"), F.bit_xor(F.xxhash64("doc")).alias("docs"), F.min("doc").alias("a"), F.max("doc").alias("b")]
+    counts = X.written(edges.groupBy("least", "edge").agg(*stats).where("a < b"), "hot-edges")
+    if counts.count() <= most:
+        joined = edges.join(F.broadcast(counts), ["least", "edge"])
+    else:
+        salt = F.pmod(F.xxhash64("doc", "pos"), F.lit(SALTS)).cast("int")
+        joined = edges.withColumn("salt", salt).join(counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["least", "edge", "salt"])
+    return joined.select("least", "doc", "pos", (F.col("pos") + F.col("i")).alias("at"), "places", "docs", "a", "b")
+
+
+def _runs(shared: DataFrame) -> DataFrame:
+    """(doc, start, stop, places, path): consecutive edges of one minimizer and one set of occurrences."""
     runs = shared.groupBy("least", "doc", "pos", "places", "docs", "a", "b").agg(F.collect_set("at").alias("at"))
     ends = F.arrays_zip(
         F.array_sort(F.filter("at", lambda p: ~F.array_contains("at", p - 1))).alias("start"),
@@ -117,6 +116,19 @@ def pieces(docs: DataFrame, length: int = 50, k: int = 25, hot: int = 50_000) ->
     )
 
 
+def pieces(docs: DataFrame, length: int = 50, k: int = 25, hot: int = 50_000) -> DataFrame:
+    """(doc, start, stop, places, path): runs of consecutive repeated edges of one minimizer and one set of occurrences."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select(F.col("doc_id").alias("doc"), F.col("text").cast("string").alias("text")).where("doc is not null and text is not null")
+    rows = texts.mapInArrow(_emit(length, k), f"least long, doc {kind}, pos int, edges array<int>")
+    often = rows.groupBy("least").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot)
+    often = X.written(often.orderBy(F.desc("n"), "least").limit(HOT_KEYS).select("least"), "hot")
+    if often.isEmpty():
+        return _runs(_cold(rows))
+    cold, warm = (rows.join(F.broadcast(often), "least", how) for how in ("left_anti", "left_semi"))
+    return _runs(_cold(cold)).unionByName(_runs(_hot(warm)))
+
+
 def paths(docs: DataFrame, length: int = 50, k: int = 25, hot: int = 50_000) -> DataFrame:
     """(doc, start, stop, places): whole nonbranching paths, each piece joined to the one that it continues."""
     p = X.written(pieces(docs, length, k, hot), "pieces")  # both sides of the join read them

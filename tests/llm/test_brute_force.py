@@ -172,8 +172,9 @@ def test_a_tiny_source_does_not_hold_up_the_rest():
 # 3 repeated spans
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(1, 50_000), (2, 3), (3, 1)])
-def test_repeated_spans(spark, seed, hot):
+@pytest.mark.parametrize(("seed", "hot", "most"), [(1, 50_000, 9), (2, 3, 500_000), (3, 1, 5)])
+def test_repeated_spans(spark, monkeypatch, seed, hot, most):
+    monkeypatch.setattr(repeats._hot, "__defaults__", (most,))
     rows, length = corpus(seed, 60), 20
     places = defaultdict(list)
     for i, text in rows:

@@ -168,3 +168,21 @@ def test_similar_classes(results):
 def test_near_copies_keep_rows_without_id_or_words(spark):
     kept = [r.doc_id for r in chosen_path.one_of_each_group(hard_docs(spark)).collect()]
     assert kept.count(None) == 3 and sorted(k for k in kept if k is not None) == [1, 2, 3, 4, 5, 8, 10]
+
+
+def test_stems_are_learnt_from_hard_rows(spark):
+    docs = hard_docs(spark)
+    labels = spark.createDataFrame([(None, 1), (1, None), (1, 1), (2, 0), (5, 0), (5, 0), (6, 0), (8, 1), (9, 1), (9, 0), (77, 1)], "doc_id long, toxic int")
+    stems = toxicity.learnt_stems(docs, labels, contexts=1, odds=2.0)
+    assert "grum" in {s[:4] for s, _ in stems} and all(0 < w <= 1 for _, w in stems)
+    assert toxicity.learnt_stems(with_clashes(docs), labels.withColumn("text", F.lit("x")), contexts=1, odds=2.0) == stems
+    assert toxicity.learnt_stems(spark.createDataFrame([], docs.schema), labels) == toxicity.learnt_stems(docs, labels.limit(0)) == ()
+
+
+def test_a_model_is_trained_on_hard_pages(spark):
+    pages = hard_pages(spark)
+    for df in (with_clashes(pages), spark.createDataFrame([], pages.schema)):
+        model = html_content.trained_on(df, sample=5, invented=12)
+        nodes = html_content.parse("<div><p>Some words, and more of them.</p></div>")
+        p = model.predict(model.features(nodes)[0])
+        assert ((p > 0) & (p < 1)).all()
