@@ -132,6 +132,25 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def any_of(words: list[str]) -> str:
+    """A pattern of all words, common beginnings once, so that a text is not held against each word in turn."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        parts = [re.escape(c) + pattern(n) for c, n in sorted(node.items()) if c]
+        if not parts:
+            return ""
+        ends = "" in node
+        return ("(?:" + "|".join(parts) + ")" if ends or len(parts) > 1 else parts[0]) + "?" * ends
+
+    return pattern(tree)
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float, stretch: float):
         self.coverage, self.stretch = coverage, stretch
@@ -144,7 +163,7 @@ class Scanner:
             need = len(t) - math.ceil(coverage * len(t) - 1e-9) + 1
             for i in rare[:need]:
                 self.keys.setdefault(t[i], {}).setdefault(name, []).append(i)
-        self.any_key = r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(re.escape(k) for k in sorted(self.keys, key=len, reverse=True)) + r")(?![\p{L}\p{N}])"
+        self.any_key = r"(?iu)(?<![\p{L}\p{N}])(?:" + any_of(sorted(self.keys)) + r")(?![\p{L}\p{N}])"
 
     def fit(self, words: list[str], lo: int, hi: int, template: list[str]) -> tuple[float, int, int] | None:
         """(coverage, first word, word after the last) of the alignment in a window, if it covers enough in a short enough stretch."""
