@@ -582,9 +582,9 @@ def near_copies(n: int, changed: int = 6) -> list[tuple[int, str]]:
     return out
 
 
-@pytest.mark.parametrize("block", [2048, 100])
+@pytest.mark.parametrize("block", [2048, 50])
 def test_a_large_cluster_of_near_copies(spark, block):
-    rows = corpus(16, 60) + near_copies(400)
+    rows = corpus(16, 60) + near_copies(200)
     want = all_similar(rows)
     links = Counter(x for p in want for x in p)
     found = {r.doc_id: r for r in chosen_path.similar_classes(table(spark, rows), bucket=50, block=block).collect()}
