@@ -36,7 +36,6 @@ def shared_dir(spark: SparkSession) -> str:
         if not (master == "local" or master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file:/tmp/modaleda-checkpoint"
-        spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
