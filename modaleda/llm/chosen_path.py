@@ -181,17 +181,17 @@ def _units(batches: Iterator[pa.RecordBatch], least: int = 1 << 14) -> Iterator[
     held: list[pa.RecordBatch] = []
     waiting = 0
 
+    def wide(b: pa.RecordBatch) -> pa.RecordBatch:
+        """b with room beyond 2 GB; each batch gets it, as what is held over must have the types of what comes next."""
+        return b.cast(pa.schema([f.with_type(pa.large_binary()) if pa.types.is_binary(f.type) else f for f in b.schema]))
+
     def joined() -> pa.RecordBatch:
-        if len(held) == 1:
-            return held[0]
-        t = pa.Table.from_batches(held)
-        wide = pa.schema([f.with_type(pa.large_binary()) if pa.types.is_binary(f.type) else f for f in t.schema])  # beyond 2 GB
-        return t.cast(wide).combine_chunks().to_batches()[0]
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append(batch)
+        held.append(wide(batch))
         waiting += batch.num_rows
         if waiting >= least:
             b = joined()

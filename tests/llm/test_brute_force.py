@@ -10,6 +10,7 @@ import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from modaleda.llm import chosen_path, heavy_dedup, html_content, licenses, mixing, packing, repeats, token_counts, topk, toxicity
@@ -596,6 +597,22 @@ def test_a_large_cluster_of_near_copies(spark, block):
     assert set(classes.values()) <= set(kept) and len(kept) == len(set(kept)) <= len(set(classes.values())) + 3
 
 
+@pytest.mark.parametrize("size", [1, 7, 100])
+@pytest.mark.parametrize("least", [1, 12, 1000])
+def test_units_stay_whole_over_many_batches(size, least):
+    rng = random.Random(23)
+    rows = sorted((rng.randrange(25), 0, rng.randrange(3), f"{i}" * (i % 3)) for i in range(150))
+    schema = pa.schema([("path", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("grams", pa.binary()), ("paths", pa.list_(pa.int64()))])
+    batches = (pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((*zip(*part), [[r[0]] for r in part]), schema)], schema=schema) for part in itertools.batched(rows, size))
+    got = []
+    for b, at in chosen_path._units(batches, least):
+        assert at[0] == 0 and at[-1] == b.num_rows
+        t = [tuple(r[c] for c in ("path", "lo", "hi", "grams", "paths")) for r in b.to_pylist()]
+        got += [t[i:j] for i, j in itertools.pairwise(at)]
+    want = [[(*r[:3], r[3].encode(), [r[0]]) for r in g] for _, g in itertools.groupby(rows, lambda r: r[:3])]
+    assert got == want
+
+
 def test_recall_of_pairs_near_the_threshold(spark):
     rng = random.Random(22)
     rows = []
