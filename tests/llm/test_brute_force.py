@@ -613,6 +613,24 @@ def test_units_stay_whole_over_many_batches(size, least):
     assert got == want
 
 
+def test_similar_classes_of_many_batches_in_a_task(spark):
+    rows = []
+    for i in range(1500):
+        words = [f"a{i}x{j}" for j in range(12)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "end"]))]
+    small = {"spark.sql.shuffle.partitions": "1", "spark.sql.execution.arrow.maxRecordsPerBatch": "300"}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        found = chosen_path.similar_classes(table(spark, rows)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert all((r.class_id, r.n_links) == (r.doc_id // 2 * 2, 1) for r in found)
+    assert len({r.doc_id for r in found}) == len(found) >= 0.98 * len(rows)
+
+
 def test_recall_of_pairs_near_the_threshold(spark):
     rng = random.Random(22)
     rows = []
