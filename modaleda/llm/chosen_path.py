@@ -231,13 +231,30 @@ class _Paths:
         self.of[row, np.arange(first[0], first[-1]) - np.repeat(first[:-1], n)] = values[first[0] : first[-1]]
         none = np.iinfo(np.int64).min
         self.below = np.where((self.of < own[:, None]) & (self.of != none), self.of, none + 1)
+        self.bits: np.ndarray | None = None
+
+    def _often(self, most: int = 64) -> np.ndarray:
+        """A bit for each of the buckets that most rows have below their own, so that rows of large buckets need not compare their lists."""
+        if self.bits is None:
+            paths, at, n = np.unique(self.below, return_inverse=True, return_counts=True)
+            n[paths == np.iinfo(np.int64).min + 1] = 0
+            top = np.argsort(-n, kind="stable")[:most]
+            bit = np.zeros(len(paths), dtype=np.uint64)
+            bit[top] = np.where(n[top] > 0, np.left_shift(np.uint64(1), np.arange(len(top), dtype=np.uint64)), np.uint64(0))
+            self.bits = np.bitwise_or.reduce(bit[at.reshape(self.below.shape)], axis=1)
+        return self.bits
 
     def owned(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether a pair of rows of one bucket is in no smaller bucket together."""
-        out = np.empty(len(a), dtype=bool)
-        for lo in range(0, len(a), 20_000):
-            x, y = self.below[a[lo : lo + 20_000]], self.of[b[lo : lo + 20_000]]
-            out[lo : lo + 20_000] = ~(x[:, :, None] == y[:, None, :]).any(axis=(1, 2))
+        out = np.ones(len(a), dtype=bool)
+        if len(a) > len(self.of):
+            bits = self._often()
+            out = bits[a] & bits[b] == 0
+        left = np.flatnonzero(out)
+        for lo in range(0, len(left), 20_000):
+            some = left[lo : lo + 20_000]
+            x, y = self.below[a[some]], self.of[b[some]]
+            out[some] = ~(x[:, :, None] == y[:, None, :]).any(axis=(1, 2))
         return out
 
 

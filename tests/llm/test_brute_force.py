@@ -613,6 +613,27 @@ def test_units_stay_whole_over_many_batches(size, least):
     assert got == want
 
 
+@pytest.mark.parametrize("rows, often, rare", [(300, 3, 400), (300, 80, 100), (200, 0, 5)])
+def test_pairs_belong_to_their_least_bucket(rows, often, rare):
+    rng = random.Random(24)
+    lists = [sorted({100, *(p for p in range(100 - often, 100) if rng.random() < 0.2), *(rng.randrange(-rare, 0) for _ in range(3)), rng.randrange(101, 110)}) for _ in range(rows)]
+    paths = chosen_path._Paths(pa.array(lists, type=pa.list_(pa.int64())), np.full(rows, 100))
+    i, j = np.triu_indices(rows, 1)
+    below = [{p for p in x if p < 100} for x in lists]
+    want = [below[a].isdisjoint(below[b]) for a, b in zip(i, j)]
+    assert paths.owned(i, j).tolist() == want and 0 < sum(want) < len(want)
+    assert paths.owned(i[:50], j[:50]).tolist() == want[:50]
+
+
+def test_pairs_of_large_buckets_do_not_compare_their_lists():
+    rows = 4000
+    paths = chosen_path._Paths(pa.array([list(range(27))] * rows, type=pa.list_(pa.int64())), np.full(rows, 26))
+    i, j = np.triu_indices(rows, 1)
+    began = time.process_time()
+    assert not paths.owned(i, j).any()
+    assert time.process_time() - began < 2
+
+
 def test_similar_classes_of_many_batches_in_a_task(spark):
     rows = []
     for i in range(1500):
