@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,84 +102,262 @@ def shape(points: DataFrame) -> DataFrame:
     return covariance(points).mapInPandas(lambda it: (solve(f) for f in it), schema)
 
 
-def _tiled(points: DataFrame, size: int) -> DataFrame:
-    """(cloud_id, tile, x, y, z): slabs of about equal counts by x, of these by y and of these by z, of about ``size`` points each."""
-    p = points.select(ID, *[F.col(c).cast("double").alias(c) for c in XYZ])
-    p = p.withColumn("k", F.ceil(F.pow(F.count(F.lit(1)).over(Window.partitionBy(ID)) / size, 1 / 3)))
-    done = [ID]
-    for c in XYZ:
-        n = F.count(F.lit(1)).over(Window.partitionBy(*done))
-        at = F.row_number().over(Window.partitionBy(*done).orderBy(c, *[o for o in XYZ if o != c])) - 1
-        p = p.withColumn(f"t{c}", F.floor(at * F.col("k") / n))
-        done.append(f"t{c}")
-    return p.select(ID, ((F.col("tx") * F.col("k") + F.col("ty")) * F.col("k") + F.col("tz")).alias("tile"), *XYZ)
-
-
-def _least_squares(p: np.ndarray, q: np.ndarray, itself: bool) -> np.ndarray:
-    """The least squared distance of each of p to those of q, or to the others where q is p."""
-    out = np.full(len(p), np.inf)
-    for lo in range(0, len(p), 512):
-        s = np.zeros((min(512, len(p) - lo), len(q)))
-        for k in range(3):
-            s += (p[lo : lo + 512, k, None] - q[None, :, k]) ** 2
-        if itself:
-            s[np.arange(len(s)), lo + np.arange(len(s))] = np.inf
-        out[lo : lo + 512] = s.min(axis=1)
-    return out
-
-
-def nearest_distances(points: DataFrame, size: int = 512) -> DataFrame:
-    """(cloud_id, d): of each point the distance to the nearest other one of its cloud, exactly; infinite where there is none.
-
-    A point is first held against those of its own tile, and then against each tile whose box is nearer than what was found.
+class _Boxes:
+    """A balanced tree of boxes over points, each of which holds two of the next level; the last holds up to ``leaf`` points."""
+
+    def __init__(self, q: np.ndarray, leaf: int = 8):
+        n = len(q)
+        self.depth = max(0, int(np.ceil(np.log2(max(1, n / leaf)))))
+        order = np.arange(n)
+        for level in range(self.depth):
+            starts = (np.arange(1 << level) * n) >> level
+            ends = np.append(starts[1:], n)
+            at = np.repeat(np.arange(1 << level), ends - starts)
+            wide = (np.maximum.reduceat(q[order], starts) - np.minimum.reduceat(q[order], starts)).argmax(axis=1)
+            order = order[np.lexsort((q[order, wide[at]], at))]
+        self.order, self.q = order, q[order]
+        self.starts = (np.arange(1 << self.depth) * n) >> self.depth
+        self.sizes = np.append(self.starts[1:], n) - self.starts
+        lo, hi = np.minimum.reduceat(self.q, self.starts), np.maximum.reduceat(self.q, self.starts)
+        self.levels = [(lo, hi)]
+        while len(lo) > 1:
+            lo, hi = np.minimum(lo[::2], lo[1::2]), np.maximum(hi[::2], hi[1::2])
+            self.levels.insert(0, (lo, hi))
+
+    def _held(self, p: np.ndarray, s: np.ndarray, i: np.ndarray, node: np.ndarray, own: np.ndarray | None) -> None:
+        """Lowers s to the squared distances of the points i to those of their leaves."""
+        for k in range(int(self.sizes.max())):
+            at = self.starts[node] + np.minimum(k, self.sizes[node] - 1)
+            d = p[i] - self.q[at]
+            d = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
+            if own is not None:
+                d[at == own[i]] = np.inf
+            np.minimum.at(s, i, d)
+
+    def lowered(self, p: np.ndarray, s: np.ndarray, own: np.ndarray | None = None, chunk: int = 1 << 13) -> np.ndarray:
+        """Of each of p the least of s and its squared distance to the points (but the one at ``own``)."""
+        out = s.astype(np.float64)
+        if own is not None:
+            place = np.empty(len(self.order), np.int64)
+            place[self.order] = np.arange(len(self.order))
+            own = place[own]
+        for a in range(0, len(p), chunk):
+            x, t = p[a : a + chunk], out[a : a + chunk]
+            mine = None if own is None else own[a : a + chunk]
+            i = np.arange(len(x))
+            home = None if mine is None else np.searchsorted(self.starts, mine, "right") - 1
+            if mine is not None:
+                self._held(x, t, i, home, mine)
+            node = np.zeros(len(x), np.int64)
+            for level in range(self.depth + 1):
+                if level:
+                    i, node = np.repeat(i, 2), np.repeat(node * 2, 2)
+                    node[1::2] += 1
+                lo, hi = self.levels[level]
+                gap = np.maximum(0, np.maximum(lo[node] - x[i], x[i] - hi[node]))
+                near = (gap * gap).sum(axis=1) < t[i]
+                i, node = i[near], node[near]
+            if home is not None:
+                i, node = i[home[i] != node], node[home[i] != node]
+            if len(i):
+                self._held(x, t, i, node, mine)
+        return out
+
+
+def _cuts(p: np.ndarray, weight: float, size: int, first: int) -> list[list[float]]:
+    """Rows (axis, cut, left, right), or (-1, tile, 0, 0), of a tree whose tiles hold about ``size`` points where each of p stands for ``weight``."""
+    tree: list[list[float]] = []
+
+    def grow(q: np.ndarray) -> int:
+        nonlocal first
+        me = len(tree)
+        tree.append([-1.0, float(first), 0.0, 0.0])
+        spread = np.ptp(q, axis=0)
+        if len(q) * weight > size and len(q) > 1 and spread.max() > 0:
+            axis = int(spread.argmax())
+            v = np.sort(q[:, axis])
+            cut = v[len(v) // 2]
+            if cut == v[0]:
+                cut = v[np.searchsorted(v, cut, "right")]
+            left = grow(q[q[:, axis] < cut])
+            tree[me] = [float(axis), float(cut), float(left), float(grow(q[q[:, axis] >= cut]))]
+        else:
+            first += 1
+        return me
+
+    grow(p)
+    return tree
+
+
+def _tree_of_each(points: DataFrame, size: int, sample: int = 100_000) -> tuple[dict, int]:
+    """Cuts of the clouds with more than ``size`` places, and the number of tiles.  They are fitted on about ``sample`` places, chosen by hash; all points are then put into their tiles."""
+    n = points.count()
+    if n <= size:
+        return {}, 1
+    share = max(1, n // sample)
+    some = points.where(F.pmod(F.xxhash64(*XYZ), F.lit(share)) == 0).select(ID, *XYZ).distinct().collect()
+    of: dict[object, list] = {}
+    for r in some:
+        of.setdefault(r[0], []).append(r[1:])
+    size, trees, tiles = max(size, len(some) * share // 5000), {}, 1
+    for cloud_id, rows in of.items():
+        if len(rows) * share > size:
+            trees[cloud_id] = np.array(_cuts(np.array(rows, np.float64), share, size, tiles))
+            tiles += int((trees[cloud_id][:, 0] < 0).sum())
+    return trees, tiles
+
+
+def _tiled(points: DataFrame, trees: dict) -> DataFrame:
+    """(cloud_id, x, y, z, n, tile); tiles of clouds with a tree have numbers of their own, others are tile 0."""
+
+    def put(batches):
+        for b in batches:
+            xyz = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in XYZ])
+            ids = b.column(ID).dictionary_encode(null_encoding="encode")
+            which, tile = ids.indices.to_numpy(zero_copy_only=False), np.zeros(b.num_rows, np.int64)
+            for k, cloud_id in enumerate(ids.dictionary.to_pylist()):
+                tree = trees.get(cloud_id)
+                if tree is None:
+                    continue
+                at = np.flatnonzero(which == k)
+                node = np.zeros(len(at), np.int64)
+                while True:
+                    axis = tree[node, 0].astype(np.int64)
+                    go = np.flatnonzero(axis >= 0)
+                    if not len(go):
+                        break
+                    t = tree[node[go]]
+                    node[go] = np.where(xyz[at[go], axis[go]] < t[:, 1], t[:, 2], t[:, 3]).astype(np.int64)
+                tile[at] = tree[node, 1].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tile)], names=[*b.schema.names, "tile"])
+
+    if not trees:
+        return points.withColumn("tile", F.lit(0).cast("long"))
+    return points.mapInArrow(put, f"{points._jdf.schema().toDDL()}, tile long")
+
+
+def nearest_distances(points: DataFrame, size: int = 1 << 15) -> DataFrame:
+    """(cloud_id, zeros, s): in parts, the squared distances (as bytes) of points to the nearest other one of their cloud, exactly; infinite where there is none; ``zeros`` more have a copy.
+
+    Copies are counted and stand for one place.  Places are put into tiles; a single point is first held against its own tile, and
+    then against those whose box is nearer than what was found: it is sent there, as one of few near a border.
     """
+    p = points.select(ID, *[F.col(c).cast("double").alias(c) for c in XYZ])
+    trees, n_tiles = _tree_of_each(p, size)
     kind = dict(points.dtypes)[ID]
 
-    def own(f: pd.DataFrame) -> pd.DataFrame:
-        p = f[list(XYZ)].to_numpy(np.float64)
-        s = _least_squares(p, p, True)
-        lo, hi = p.min(axis=0), p.max(axis=0)
-        return pd.DataFrame({"cloud_id": [f.cloud_id.iloc[0]], "tile": [f.tile.iloc[0]], "lo": [lo.tolist()], "hi": [hi.tolist()], "far": [s.max()], "xyz": [p.tobytes()], "s": [s.tobytes()]})
-
-    def against(frames):
+    def own(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        q, n = np.ascontiguousarray(f[list(XYZ)].to_numpy(np.float64)), f.n.to_numpy()
+        one = np.flatnonzero(n == 1)
+        s = _Boxes(q).lowered(q[one], np.full(len(one), np.inf), one) if len(one) else np.zeros(0)
+        row = {"cloud_id": key[0], "tile": key[1], "lo": q.min(axis=0).tolist(), "hi": q.max(axis=0).tolist(), "zeros": int(n[n > 1].sum()), "xyz": q.tobytes(), "one": one.astype(np.int32).tobytes(), "s": s.tobytes()}
+        return pd.DataFrame({k: pd.Series([v], dtype=object) for k, v in row.items()})
+
+    places = p.groupBy(ID, *XYZ).agg(F.count(F.lit(1)).alias("n"))
+    made = _tiled(places, trees).groupBy(ID, "tile").applyInPandas(own, f"cloud_id {kind}, tile long, lo array<double>, hi array<double>, zeros long, xyz binary, one binary, s binary")
+    if not trees:
+        return made.select(ID, "zeros", "s")
+    tiles = made.persist(StorageLevel.DISK_ONLY)
+    boxes = tiles.where("tile > 0").select("tile", "lo", "hi").collect()  # of 5,000 tiles at most, and some more for small clouds beside large ones
+    lo, hi, there = np.full((n_tiles, 3), np.inf), np.full((n_tiles, 3), -np.inf), np.zeros(n_tiles, bool)
+    for r in boxes:
+        lo[r.tile], hi[r.tile], there[r.tile] = r.lo, r.hi, True
+    same = np.zeros(n_tiles, np.int64)  # the cloud of each tile
+    for k, t in enumerate(trees.values()):
+        same[t[t[:, 0] < 0, 1].astype(np.int64)] = k + 1
+
+    def sent(frames):
         for f in frames:
-            for cloud_id, tile, xyz, s, other, lo, hi in zip(f.cloud_id, f.tile, f.xyz, f.s, f.other, f.lo, f.hi):
-                p, s, q = np.frombuffer(xyz).reshape(-1, 3), np.frombuffer(s), np.frombuffer(other).reshape(-1, 3)
-                gap = np.maximum(0, np.maximum(np.array(lo) - p, p - np.array(hi)))
-                near = np.flatnonzero((gap * gap).sum(axis=1) < s)
-                if len(near):
-                    new = _least_squares(p[near], q, False)
-                    less = new < s[near]
-                    yield pd.DataFrame({"cloud_id": cloud_id, "tile": tile, "at": near[less], "s": new[less]})
-
-    def unrolled(frames):
-        for f in frames:
-            for cloud_id, tile, s in zip(f.cloud_id, f.tile, f.s):
-                s = np.frombuffer(s)
-                yield pd.DataFrame({"cloud_id": cloud_id, "tile": tile, "at": np.arange(len(s)), "s": s})
-
-    tiles = _tiled(points, size).groupBy(ID, "tile").applyInPandas(own, f"cloud_id {kind}, tile long, lo array<double>, hi array<double>, far double, xyz binary, s binary").persist(StorageLevel.DISK_ONLY)
-    boxes = tiles.select(ID, "tile", "lo", "hi", "far")
-    a, b = boxes.alias("a"), boxes.alias("b")
-    gap = lambda i: F.greatest(F.lit(0.0), F.col("a.lo")[i] - F.col("b.hi")[i], F.col("b.lo")[i] - F.col("a.hi")[i])
-    near = a.join(b, (F.col("a.cloud_id").eqNullSafe(F.col("b.cloud_id"))) & (F.col("a.tile") != F.col("b.tile")) & (gap(0) * gap(0) + gap(1) * gap(1) + gap(2) * gap(2) < F.col("a.far")))
-    near = near.select(F.col("a.cloud_id").alias("cloud"), F.col("a.tile").alias("ta"), F.col("b.tile").alias("tb"), F.col("b.lo").alias("lo"), F.col("b.hi").alias("hi"))
-    others = tiles.select(F.col(ID).alias("c2"), F.col("tile").alias("t2"), F.col("xyz").alias("other"))
-    pairs = near.join(others, F.col("cloud").eqNullSafe(F.col("c2")) & (F.col("tb") == F.col("t2"))).drop("c2", "t2")
-    pairs = pairs.join(tiles.select(ID, "tile", "xyz", "s"), F.col("cloud").eqNullSafe(F.col(ID)) & (F.col("ta") == F.col("tile")))
-    schema = f"cloud_id {kind}, tile long, at long, s double"
-    better = pairs.select(ID, "tile", "xyz", "s", "other", "lo", "hi").mapInPandas(against, schema)
-    every = tiles.select(ID, "tile", "s").mapInPandas(unrolled, schema).unionByName(better)
-    return every.groupBy(ID, "tile", "at").agg(F.min("s").alias("s")).select(ID, F.sqrt("s").alias("d"))
-
-
-def nearest_neighbours(points: DataFrame, sample: int | None = None, order: str = "point_idx") -> DataFrame:
-    """(cloud_id, nearest_neighbor_mean, _median, _std) among all points of each cloud, or ``sample`` of them; 0 below two points."""
+            for tile, xyz, one, s in zip(f.tile, f.xyz, f.one, f.s):
+                q, s = np.frombuffer(xyz).reshape(-1, 3)[np.frombuffer(one, np.int32)], np.frombuffer(s)
+                if not len(q):
+                    continue
+                a, b = q.min(axis=0), q.max(axis=0)
+                gap = np.maximum(0, np.maximum(lo - b, a - hi))
+                for other in np.flatnonzero(there & (same == same[tile]) & ((gap * gap).sum(axis=1) < s.max())):
+                    if other == tile:
+                        continue
+                    g = np.maximum(0, np.maximum(lo[other] - q, q - hi[other]))
+                    at = np.flatnonzero((g * g).sum(axis=1) < s)
+                    if len(at):
+                        yield pd.DataFrame({"tile": [other], "home": [tile], "at": [at.astype(np.int32).tobytes()], "p": [q[at].tobytes()], "t": [s[at].tobytes()]})
+
+    def held(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(a) and len(b):
+            tree = _Boxes(np.frombuffer(a.xyz.iloc[0]).reshape(-1, 3))
+            for home, at, p, t in zip(b.home, b["at"], b.p, b.t):
+                t = np.frombuffer(t)
+                new = tree.lowered(np.frombuffer(p).reshape(-1, 3), t)
+                less = new < t
+                if less.any():
+                    out.append((home, np.frombuffer(at, np.int32)[less].tobytes(), new[less].tobytes()))
+        return pd.DataFrame(out, columns=["tile", "at", "t"])
+
+    def lowered(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        s = np.frombuffer(a.s.iloc[0]).copy()
+        for at, t in zip(b["at"], b.t):
+            np.minimum.at(s, np.frombuffer(at, np.int32), np.frombuffer(t))
+        return pd.DataFrame({"cloud_id": a.cloud_id, "zeros": a.zeros, "s": [s.tobytes()]})
+
+    cut = tiles.where("tile > 0")
+    visits = cut.select("tile", "xyz", "one", "s").mapInPandas(sent, "tile long, home long, at binary, p binary, t binary")
+    better = cut.select("tile", "xyz").groupBy("tile").cogroup(visits.groupBy("tile")).applyInPandas(held, "tile long, at binary, t binary")
+    out = cut.select(ID, "tile", "zeros", "s").groupBy("tile").cogroup(better.groupBy("tile")).applyInPandas(lowered, f"cloud_id {kind}, zeros long, s binary")
+    return out.unionByName(tiles.where("tile = 0").select(ID, "zeros", "s"))
+
+
+def nearest_neighbours(points: DataFrame, sample: int | None = None, order: str = "point_idx", size: int = 1 << 15) -> DataFrame:
+    """(cloud_id, nearest_neighbor_mean, _median, _std) among all points of each cloud, or ``sample`` of them; 0 below two points.
+
+    The median is exact: distances are counted by their leading bits, and only those of the middle ones are sorted.
+    """
     some = finite_points(points)
     if sample is not None:
         some = stats.sample_per_group(some, ID, order, sample)
-    d = nearest_distances(some).withColumn("d", F.when(F.col("d") == float("inf"), 0.0).otherwise(F.col("d")))
-    return d.groupBy(ID).agg(F.avg("d").alias("nearest_neighbor_mean"), F.percentile("d", 0.5).alias("nearest_neighbor_median"), F.stddev_pop("d").alias("nearest_neighbor_std"))
+    kind = dict(points.dtypes)[ID]
+    parts = nearest_distances(some, size).persist(StorageLevel.DISK_ONLY)
+
+    def distances(f: pd.DataFrame):
+        for k, (zeros, s) in enumerate(zip(f.zeros, f.s)):
+            d = np.sqrt(np.frombuffer(s))
+            yield f.iloc[k : k + 1], int(zeros), np.where(np.isinf(d), 0.0, d)
+
+    def measured(frames):
+        for f in frames:
+            for row, zeros, d in distances(f):
+                n = len(d) + zeros
+                mean = d.sum() / n
+                keys, counts = np.unique(np.append(d.view(np.int64) >> 40, np.zeros(min(1, zeros), np.int64)), return_counts=True)
+                counts[0] += max(0, zeros - 1)
+                yield pd.DataFrame({"cloud_id": row.cloud_id, "n": [n], "mean": [mean], "m2": [((d - mean) ** 2).sum() + zeros * mean * mean], "keys": [keys.tolist()], "counts": [counts.tolist()]})
+
+    def middle(frames):
+        for f in frames:
+            for row, zeros, d in distances(f):
+                d = np.sort(np.append(d, np.zeros(min(1, zeros))))
+                key = d.view(np.int64) >> 40
+                v, n = np.unique(d[(key == row.a.iloc[0]) | (key == row.b.iloc[0])], return_counts=True)
+                n[v == 0] += max(0, zeros - 1)
+                yield pd.DataFrame({"cloud_id": row.cloud_id.repeat(len(v)).array, "d": v, "n": n})
+
+    each = parts.mapInPandas(measured, f"cloud_id {kind}, n long, mean double, m2 double, keys array<long>, counts array<long>").persist(StorageLevel.DISK_ONLY)
+    whole = Window.partitionBy(ID)
+    moments = each.select(ID, "n", "mean", "m2", (F.sum(F.col("n") * F.col("mean")).over(whole) / F.sum("n").over(whole)).alias("m"))
+    moments = moments.groupBy(ID).agg(F.first("m").alias("nearest_neighbor_mean"), F.sqrt(F.sum(F.col("m2") + F.col("n") * (F.col("mean") - F.col("m")) * (F.col("mean") - F.col("m"))) / F.sum("n")).alias("nearest_neighbor_std"), F.sum("n").alias("all"))
+
+    def at(place: str, below: str, n: str):
+        r = F.floor((F.col("all") - 1) / 2) if place == "a" else F.floor(F.col("all") / 2)
+        return (F.col(below) <= r) & (r < F.col(below) + F.col(n))
+
+    counts = each.select(ID, F.explode(F.arrays_zip("keys", "counts")).alias("e")).groupBy(ID, F.col("e.keys").alias("key")).agg(F.sum("e.counts").alias("n"))
+    counts = counts.select(ID, "key", "n", F.sum("n").over(whole).alias("all"), (F.sum("n").over(whole.orderBy("key")) - F.col("n")).alias("below"))
+    ends = counts.groupBy(ID).agg(*[F.max(F.when(at(p, "below", "n"), F.col("key"))).alias(p) for p in "ab"], F.max(F.when(at("a", "below", "n"), F.col("below"))).alias("before"), F.first("all").alias("all")).withColumnRenamed(ID, "__cloud__")
+    joined = parts.join(F.broadcast(ends), F.col(ID).eqNullSafe(F.col("__cloud__"))).select(ID, "zeros", "s", "a", "b")
+    values = joined.mapInPandas(middle, f"cloud_id {kind}, d double, n long").groupBy(ID, "d").agg(F.sum("n").alias("n")).join(F.broadcast(ends), F.col(ID).eqNullSafe(F.col("__cloud__")))
+    values = values.withColumn("low", F.col("before") + F.sum("n").over(whole.orderBy("d")) - F.col("n"))
+    median = values.groupBy(F.col(ID).alias("__cloud__")).agg(((F.max(F.when(at("a", "low", "n"), F.col("d"))) + F.max(F.when(at("b", "low", "n"), F.col("d")))) / 2).alias("nearest_neighbor_median"))
+    return moments.join(median, F.col(ID).eqNullSafe(F.col("__cloud__"))).select(ID, "nearest_neighbor_mean", "nearest_neighbor_median", "nearest_neighbor_std")
 
 
 def records(points: DataFrame, order: str = "point_idx", neighbours: bool = True) -> DataFrame:

@@ -50,3 +50,32 @@ def test_video_records_have_no_last_frame(spark):
     rows = [("v", i, 0, 0, 200 if i == 1700 else 100) for i in range(1800)]
     got = video.records(spark.createDataFrame(rows, "video_id string, frame_idx int, y int, x int, gray int")).collect()[0]
     assert (got.sampled_frames, got.scene_change_count) == (1800, 2)
+
+
+def test_nearest_neighbours_across_many_tiles_and_with_copies(spark):
+    rng = np.random.default_rng(2)
+    shapes = {
+        "even": rng.random((3000, 3)), "far": np.vstack([rng.normal(size=(900, 3)), [[90.0, 0, 0], [0, -500, 3]]]), "copies": np.repeat(rng.random((700, 3)), rng.integers(1, 40, 700), axis=0),
+        "line": np.outer(np.arange(800.0) ** 2, [1, 0, 0]), "one": np.ones((1, 3)), "same": np.ones((900, 3)), None: rng.random((600, 3)),
+    }
+    rows = [(k, *map(float, q)) for k, p in shapes.items() for q in p]
+    points = spark.createDataFrame(rows, "cloud_id string, x double, y double, z double")
+    trees, n = cloud._tree_of_each(points, 100)
+    assert {"even", "far", "line", None} <= set(trees) and n > 50
+    got = {r.cloud_id: r[1:] for r in cloud.nearest_neighbours(points, size=100).collect()}
+    assert set(got) == set(shapes)
+    for k, p in shapes.items():
+        d = np.zeros(len(p))
+        for i in range(len(p) if len(p) > 1 else 0):
+            s = ((p - p[i]) ** 2).sum(axis=1)
+            s[i] = np.inf
+            d[i] = np.sqrt(s.min())
+        assert got[k] == pytest.approx((d.mean(), np.median(d), d.std()), abs=1e-12), k
+
+
+def test_nearest_neighbours_hold_no_pairs_of_tiles_in_the_plan(spark):
+    """Copies are counted before points meet, and no join goes over a whole cloud."""
+    points = spark.range(60_000).selectExpr("'c' as cloud_id", "double(id % 600) as x", "0d as y", "0d as z")
+    plan = cloud.nearest_neighbours(points)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert cloud.nearest_distances(points).selectExpr("sum(zeros)").collect()[0][0] == 60_000
