@@ -55,7 +55,7 @@ def histogram(df: DataFrame, value: str, bins: int, by: list[str] | None = None,
     v = df.select(*by, (F.log10(F.when(finite(F.col(value)) > 0, finite(F.col(value)))) if log10 else finite(F.col(value))).alias("v")).where("v is not null")
     ends = v.groupBy(*by).agg(F.min("v").alias("a"), F.max("v").alias("b"))
     ends = ends.select(*by, F.when(F.col("a") == F.col("b"), F.col("a") - 0.5).otherwise(F.col("a")).alias("a"), F.when(F.col("a") == F.col("b"), F.col("b") + 0.5).otherwise(F.col("b")).alias("b"))
-    both = v.join(ends, by) if by else v.crossJoin(F.broadcast(ends))  # one row of bounds
+    both = v.join(F.broadcast(ends), by) if by else v.crossJoin(F.broadcast(ends))  # one row of bounds
     width = (F.col("b") - F.col("a")) / bins
     at = F.least(F.floor((F.col("v") - F.col("a")) / width), F.lit(bins - 1)).cast("int")
     return (

@@ -52,9 +52,9 @@ def radial(points: DataFrame) -> DataFrame:
     p = finite_points(points)
     c = p.groupBy(ID).agg(*[F.avg(a).alias(f"c{a}") for a in XYZ])
     square = sum(((F.col(a) - F.col(f"c{a}")) * (F.col(a) - F.col(f"c{a}")) for a in XYZ), F.lit(0.0))
-    d = p.join(c, ID).select(ID, F.sqrt(square).alias("d"))
+    d = p.join(F.broadcast(c), ID).select(ID, F.sqrt(square).alias("d"))  # one row for each cloud: points stay where they are, as a cloud may hold most of them
     m = d.groupBy(ID).agg(F.avg("d").alias("m"), F.stddev_pop("d").alias("s"))
-    return d.join(m, ID).groupBy(ID).agg(F.first("m").alias("radial_distance_mean"), F.first("s").alias("radial_distance_std"), F.avg(F.when((F.col("s") > 0) & (F.col("d") > F.col("m") + 3 * F.col("s")), 1.0).otherwise(0.0)).alias("outlier_fraction"))
+    return d.join(F.broadcast(m), ID).groupBy(ID).agg(F.first("m").alias("radial_distance_mean"), F.first("s").alias("radial_distance_std"), F.avg(F.when((F.col("s") > 0) & (F.col("d") > F.col("m") + 3 * F.col("s")), 1.0).otherwise(0.0)).alias("outlier_fraction"))
 
 
 def duplicate_fraction(points: DataFrame, decimals: int = 5) -> DataFrame:
@@ -73,7 +73,7 @@ def attributes(points: DataFrame) -> DataFrame:
     top = p.groupBy(ID).agg(F.max(F.greatest("r", "g", "b")).alias("top"))
     scale = F.when(F.col("top") > 1, F.greatest(F.lit(255.0), F.col("top"))).otherwise(1.0)
     unit = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c) / scale)))
-    rgb = p.join(top, ID).groupBy(ID).agg(*[f(unit(c)).alias(f"{c}_{n}") for c in "rgb" for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    rgb = p.join(F.broadcast(top), ID).groupBy(ID).agg(*[f(unit(c)).alias(f"{c}_{n}") for c in "rgb" for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
     return out.join(rgb, ID)
 
 
@@ -380,7 +380,7 @@ def xy_density(points: DataFrame, bins: int = 80) -> DataFrame:
         width = (F.col(f"{c}_b") - F.col(f"{c}_a")) / bins
         return F.when(width == 0, F.lit(bins // 2)).otherwise(F.least(F.floor(F.try_divide(F.col(c) - F.col(f"{c}_a"), width)), F.lit(bins - 1))).cast("int").alias(f"b{c}")
 
-    return p.join(e, ID).groupBy(ID, at("x"), at("y")).agg(F.count(F.lit(1)).alias("count"))
+    return p.join(F.broadcast(e), ID).groupBy(ID, at("x"), at("y")).agg(F.count(F.lit(1)).alias("count"))
 
 
 def height_histogram(points: DataFrame, bins: int = 40) -> DataFrame:

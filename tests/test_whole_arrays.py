@@ -79,3 +79,16 @@ def test_nearest_neighbours_hold_no_pairs_of_tiles_in_the_plan(spark):
     plan = cloud.nearest_neighbours(points)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert cloud.nearest_distances(points).selectExpr("sum(zeros)").collect()[0][0] == 60_000
+
+
+@pytest.mark.parametrize("of", [cloud.radial, cloud.attributes, cloud.xy_density, cloud.height_histogram])
+def test_points_are_not_shuffled_by_cloud(spark, of):
+    """A cloud may hold most points: what is known of each cloud is brought to them, also where tables are not small."""
+    points = spark.range(1000).selectExpr("string(id div 900) as cloud_id", "double(id) as x", "0d as y", "double(id % 7) as z", "0d as intensity", "1d as r", "1d as g", "1d as b")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = of(points)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan
