@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from modaleda import catalog
-from modaleda.operators import cloud, video
+from modaleda.operators import cloud, distance, video
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -92,3 +92,15 @@ def test_points_are_not_shuffled_by_cloud(spark, of):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" in plan
+
+
+def test_distances_read_their_items_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    items = spark.range(12).selectExpr("id", "double(id * id) as v").repartition(3).mapInPandas(counted, "id long, v double")
+    assert len(distance.euclidean(items, "id", ["v"]).collect()) == 66 and seen.value == 12
