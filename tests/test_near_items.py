@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from modaleda.operators import dedup
+from modaleda.operators import dedup, distance
 
 
 def plain_pairs(rows, threshold):
@@ -59,3 +59,26 @@ def test_groups_of_a_greedy_pass(spark, small):
     for r in seeds.collect():
         sizes.setdefault(r.seed, []).append(r.id)
     assert sorted((s, i) for s, ids in sizes.items() if len(ids) > 1 for i in ids) == plain_groups([i for i, _ in rows], pairs)
+
+
+@pytest.mark.parametrize("block", [7, 64])
+def test_distances_in_blocks(spark, block):
+    rng = np.random.default_rng(3)
+    words = [[f"w{k}" for k in rng.zipf(1.5, 40) % 50] for _ in range(60)]
+    docs = [(i, " ".join(words[i % 60] + ["x"] * (i // 60))) for i in range(90)] + [(90, ""), (91, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    v = distance.tfidf(df)
+    vec = {}
+    for r in v.collect():
+        vec.setdefault(r.doc_id, {})[r.term] = r.weight
+    want = {(a, b): 1 - min(1, sum(w * vec.get(b, {}).get(t, 0) for t, w in vec.get(a, {}).items())) for a in range(92) for b in range(a + 1, 92)}
+    got = {(r.id_a, r.id_b): r.distance for r in distance._block_products(v, df, "doc_id", block=block, step=5).collect()}
+    assert got == pytest.approx(want, abs=1e-12)
+    near = {(r.id_a, r.id_b): r.distance for r in distance._block_products(v, v.select("doc_id").distinct(), "doc_id", 0.3, block=block, step=5).collect()}
+    assert near == pytest.approx({k: d for k, d in want.items() if d <= 0.3}, abs=1e-12) and len(near) > 25
+    assert len(distance.near_duplicates(v).collect()) == sum(d <= 0.15 for d in want.values())
+
+
+def test_a_matrix_of_many_items(spark):
+    items = spark.range(20_001).selectExpr("id")
+    assert distance.all_pairs(items, "id").where("id_a = 20000 or id_b = 20000").count() == 20_000
