@@ -22,12 +22,12 @@ def _top(n: int) -> str:
 
 @query(_top(2))
 def document_top_bigrams(t):
-    return T.top_terms_per_document(T.token_rows(t("documents"), n=2), 30)
+    return T.top_terms_per_document(t("documents"), 30, n=2)
 
 
 @query(_top(3))
 def document_top_trigrams(t):
-    return T.top_terms_per_document(T.token_rows(t("documents"), n=3), 30)
+    return T.top_terms_per_document(t("documents"), 30, n=3)
 
 
 @query(

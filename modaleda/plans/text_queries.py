@@ -190,7 +190,7 @@ def _top_sql(docs: str, n: int, limit: int = 50) -> str:
 
 
 def _top(t, n: int, stopwords=(), limit: int = 50) -> DataFrame:
-    return T.most_common(T.term_counts(T.token_rows(t("documents"), n=n, stopwords=stopwords)), limit)
+    return T.top_terms(t("documents"), limit, n=n, stopwords=stopwords)
 
 
 @query(_top_sql(_ROWS, 1))
@@ -239,7 +239,7 @@ def corpus_lexical_summary(t):
     f"with {_ROWS}, {_grams(1)}, c as (select doc_id, term, count(*)::bigint as count, min(pos) as first from e group by doc_id, term), r as (select *, row_number() over (partition by doc_id order by count desc, first) as rank from c) select doc_id, rank::int as rank, term, count from r where rank <= 30"
 )
 def document_top_terms(t):
-    return T.top_terms_per_document(T.token_rows(t("documents")), 30)
+    return T.top_terms_per_document(t("documents"), 30)
 
 
 @query(
