@@ -17,7 +17,7 @@ def records(docs: DataFrame, text: str = "text", keep: Iterable[str] = (), lower
     keep = list(keep)
     c = F.col("_text")
     df = docs.select(*keep, F.col(text).alias("_text"))
-    for stage in (X.base_columns(c, lowercase, min_length), X.part_columns(), X.count_columns(c, stopwords or X.STOPWORDS), X.ratio_columns(short_words, long_words)):
+    for stage in (X.base_columns(c, lowercase, min_length), X.part_columns(), X.count_columns(c, stopwords or X.STOPWORDS), X.once_columns(), X.ratio_columns(short_words, long_words)):
         df = df.select("*", *[v.alias(k) for k, v in stage.items()])
     return df.select(*[n for n in df.columns if not n.startswith("_")])
 
